@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import control_charts, delivery, malformed, references
+from ..operators import clocks, control_charts, delivery, malformed, references, schema_drift
 from ..sources.tables import table
 
 QUERIES = {}
@@ -107,3 +107,45 @@ def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return malformed.loaded_rows(table(spark, sf_dir, "loss_lines"))
+
+
+# 5. Mixed timestamp formats and time zones
+
+CLOCKS = {"executions": "started_at", "task_events": "created_at", "request_log": "ts", "consolidation_log": "created_at"}
+
+
+def _clock_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = None
+    for name, column in CLOCKS.items():
+        part = table(spark, sf_dir, name).select(F.lit(name).alias("source_table"), F.col("id").cast("string").alias("row_key"), F.col(column).alias("text"), "host", "loaded_at")
+        values = part if values is None else values.unionByName(part)
+    return values
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clocks.normalise(_clock_values(spark, sf_dir), table(spark, sf_dir, "hosts"))
+
+
+@query()
+def p5_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone estimated for each host beside the listed one."""
+    return clocks.host_zones(_clock_values(spark, sf_dir), table(spark, sf_dir, "hosts"))
+
+
+# 6. Schemas that drift between files
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.changes(table(spark, sf_dir, "loss_file_records"))
+
+
+@query()
+def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.one_table(table(spark, sf_dir, "loss_file_records"))
+
+
+@query()
+def p6_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.failed_casts(table(spark, sf_dir, "loss_file_records"))
