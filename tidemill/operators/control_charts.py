@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 FIELDS = ("train", "gnorm", "lmax")
 STUCK = 6
 LIMIT = 5.4
@@ -182,7 +184,7 @@ def suspicious_readings(rows: DataFrame, fields: Sequence[str] = FIELDS) -> Data
         return F.transform(filled, lambda r: F.struct(r["step"].alias("step"), r[f].alias("value")))
 
     readings = {f: readings_of(f) for f in fields}
-    packed = packed.select(*key, *[r.alias(f"readings_{f}") for f, r in readings.items()])
+    packed = cut(packed.select(*key, *[r.alias(f"readings_{f}") for f, r in readings.items()]))  # read three times below
     counts = packed.select(*key, *[F.size(f"readings_{f}").cast("bigint").alias(f"n_{f}") for f in fields]).withColumn(
         "super", F.floor(F.col("stretch") / F.lit(SUPER)).cast("bigint")
     )
