@@ -38,7 +38,7 @@ MINUTE_US = 60_000_000
 # English month names.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?"
+_TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
 _ZONE = r"\s*(?P<z>[Zz]|[+-]\d{1,2}(?::?\d{2})?|[A-Za-z]{2,6}|[A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)+)?(?:\[(?P<zn>[A-Za-z_/+\-0-9]+)\])?"
 _FORMS = tuple(
     re.compile(p + _ZONE, re.ASCII)
