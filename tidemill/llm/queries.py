@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import packing, tokens
+from . import packing, subjects, tokens
 
 QUERIES = {}
 SQL = {}
@@ -53,3 +53,24 @@ def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
+
+
+# 9. Subject area of each text
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = subjects.fit(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
+    return subjects.subject_areas(documents, model)
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+@query()
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts per subject and source: the corpus composition by subject."""
+    found = _subjects(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return found.groupBy("subject", "source").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg("share"), 6).alias("mean_share"))
