@@ -7,22 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import clocks, control_charts, delivery, malformed, references, schema_drift
 from ..sources.tables import table
+from .catalog import Catalog
 
-QUERIES = {}
-SQL = {}
+catalog = Catalog()
+QUERIES, SQL, query = catalog.queries, catalog.sql, catalog.query
 _ID = {"texts": ["run", "attempt", "kind"], "number": "step", "delivered_at": "delivered_at", "row_id": "row_id"}
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # 1. Messages delivered more than once
 
 
