@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .offsets import running_total
+
 CURVE = ["run", "attempt"]
 
 
@@ -152,8 +154,8 @@ def smoothed(rows: DataFrame, value: str, span: int = 50, block: int = 4096) ->
     """
     import numpy as np
 
-    numbered = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*CURVE, "step", F.col(value).alias("x"))
-    numbered = numbered.withColumn("i", F.row_number().over(Window.partitionBy(*CURVE).orderBy("step")))
+    numbered = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))).select(*CURVE, "step", F.col(value).alias("x"))
+    numbered = running_total(numbered, "step", F.lit(1).cast("bigint"), CURVE, "i").withColumn("i", F.col("i") + 1)
     packed = numbered.groupBy(*CURVE, F.floor((F.col("i") - 1) / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("i", "step", "x"))).alias("r"))
     packed = packed.select(*CURVE, "block", F.col("r.step").alias("steps"), F.col("r.x").alias("xs"), F.col("r.i").alias("is"))
 
