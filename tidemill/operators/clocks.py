@@ -236,6 +236,7 @@ def normalise(values: DataFrame, hosts: DataFrame) -> DataFrame:
             got = pa.RecordBatch.from_arrays([batch.column("source_table"), batch.column("row_key"), pa.array(at, pa.int64())], names=["source_table", "row_key", "utc_us"])
             yield got.filter(got.column("utc_us").is_valid())
 
+    values = values.select("source_table", "row_key", "text", "host", "loaded_at")
     zones = measured(host_zones(values, hosts).where("host IS NOT NULL").select("host", "zone"))
     placed = values.join(zones, "host", "left").select("source_table", "row_key", "text", "zone")
     return placed.mapInArrow(convert, "source_table string, row_key string, utc_us bigint").distinct()
