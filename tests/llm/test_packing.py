@@ -1,0 +1,81 @@
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemill.llm import packing as p
+
+
+def check(capacity, items, windows):
+    assert sorted(i for w in windows for i in w) == sorted(n for _, _, n in items)
+    size = {n: s for _, s, n in items}
+    assert all(w and sum(size[i] for i in w) <= capacity for w in windows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 40), st.lists(st.tuples(st.integers(0, 3), st.integers(1, 40)), max_size=60))
+def test_every_item_in_one_window(capacity, raw):
+    items = [(s, min(n, capacity), i) for i, (s, n) in enumerate(raw)]
+    windows = p.pack(capacity, items, [0.25] * 4, [0.0] * 4)
+    check(capacity, items, windows)
+    # no two windows could have been one
+    size = {n: s for _, s, n in items}
+    fill = sorted(sum(size[i] for i in w) for w in windows)
+    assert len(fill) < 2 or fill[0] + fill[1] > capacity
+
+
+def test_little_room_is_left():
+    r = random.Random(3)
+    items = [(r.randrange(5), min(1024, int(r.lognormvariate(5, 0.8)) + 1), i) for i in range(6000)]
+    windows = p.pack(1024, items, [0.2] * 5, [0.0] * 5)
+    check(1024, items, windows)
+    assert len(windows) <= -(-sum(n for _, n, _ in items) // 1024) + 3
+
+
+def test_mixture_follows_the_shares():
+    items = [(s, 64, s * 10_000 + i) for s, n in ((0, 3000), (1, 1000)) for i in range(n)]
+    windows = p.pack(1024, items, [0.75, 0.25], [0.0, 0.0])
+    assert all(abs(sum(i < 10_000 for i in w) - 12) <= 1 for w in windows)
+
+
+def test_a_debt_carried_in_is_paid_first():
+    items = [(s, 64, s * 10_000 + i) for s in (0, 1) for i in range(400)]
+    first = p.pack(1024, items, [0.5, 0.5], [0.0, 512.0])[0]
+    assert sum(i >= 10_000 for i in first) > sum(i < 10_000 for i in first)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+
+
+def test_frame(spark):
+    rows = [(i, f"s{i % 3}" if i % 7 else None, i % 50) for i in range(300)] + [(900, "s1", 1000), (901, "s1", 128), (902, None, None), (5, "s2", 5)]
+    windows = spark.createDataFrame([(1, 64), (2, 128), (2, 128), (3, 0)], "window_id int, capacity int")
+    got = p.pack_windows(frame(spark, rows), windows).collect()
+    for w, capacity in ((1, 64), (2, 128)):
+        mine = [r for r in got if r.window_id == w]
+        assert len({(r.doc_id, r.piece) for r in mine}) == len(mine) - 1  # one id occurs twice
+        fill = {}
+        for r in mine:
+            fill[r.window_no] = fill.get(r.window_no, 0) + r.piece_tokens
+        assert max(fill.values()) <= capacity
+        assert sum(fill.values()) == sum(n or 0 for _, _, n in rows)
+        big = sorted((r.piece_start, r.piece_tokens) for r in mine if r.doc_id == 900)
+        assert big == [(x, min(capacity, 1000 - x)) for x in range(0, 1000, capacity)]
+        assert all(r.piece == 0 for r in mine if r.doc_id != 900 and not (w == 1 and r.doc_id == 901))
+    assert p.pack_windows(frame(spark, rows).limit(0), windows).count() == 0
+    assert p.pack_windows(frame(spark, rows), windows.limit(0)).count() == 0
+
+
+def test_partitions_continue_one_ledger(spark, monkeypatch):
+    monkeypatch.setattr(p, "TOKENS", 100_000)  # three partitions; each may leave one window open
+    rows = [(i, "a" if i % 4 else "b", 40 + i % 60) for i in range(4000)]
+    got = p.pack_windows(frame(spark, rows), spark.createDataFrame([(1, 1024)], "window_id int, capacity int"))
+    report = p.fill_report(got).first()
+    assert report.pieces == 4000 and report.unused / (report.windows * 1024) < 0.02
+    by = {}
+    for r in got.collect():
+        w = by.setdefault(r.window_no, {"a": 0, "b": 0})
+        w[r.source] += r.piece_tokens
+    off = sorted(abs(w["b"] / (w["a"] + w["b"]) - 0.25) for w in by.values())
+    assert off[len(off) // 2] < 0.08
