@@ -34,7 +34,7 @@ from ..session import cut
 
 FIELDS = ("train", "gnorm", "lmax")
 STUCK = 6
-LIMIT = 5.4
+LIMIT = 5.25
 CLIP = 3.0
 LAMBDA = 0.06
 LAMBDA_SCALE = 0.03
@@ -56,11 +56,14 @@ def run_lengths(values: np.ndarray) -> np.ndarray:
     return np.repeat(lengths, lengths)
 
 
-def _pass(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predicted level and squared scale before each reading; one row per position, one column per series, NaN-padded."""
+def _pass(x: np.ndarray, size: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predicted level and squared scale before each reading; one row per position, one column per series, NaN-padded.
+
+    Readings marked in ``out`` are known cases: they get a prediction but update nothing.
+    """
     rows, columns = x.shape
     level, square = np.empty_like(x), np.empty_like(x)
-    head = x[: min(WARM, rows)]
+    head = np.where(out, np.nan, x)[: min(WARM, rows)]
     head = np.where(np.isnan(head).all(axis=0), 0.0, head)
     mean = np.nanmedian(head, axis=0)
     spread = 1.4826 * np.nanmedian(np.abs(head - mean), axis=0)
@@ -71,14 +74,18 @@ def _pass(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         error = x[t] - mean
         bound = CLIP * np.sqrt(var)
         error = np.clip(error, -bound, bound)
-        live = t < size
+        live = (t < size) & ~out[t]
         mean = np.where(live, mean + LAMBDA * error, mean)
         var = np.where(live, np.maximum(var + LAMBDA_SCALE * (error * error - var), floor * floor), var)
     return level, square
 
 
 def chart(series: Sequence[np.ndarray]) -> list[np.ndarray]:
-    """Distance of every reading from the level around it, in scales; the series must be finite."""
+    """Distance of every reading from the level around it, in scales; the series must be finite.
+
+    The chart runs twice. What the first run finds to be far out is left out of the second, whose level and scale are thus those
+    of the ordinary readings alone.
+    """
     size = np.array([len(s) for s in series])
     if not len(size) or not size.max(initial=0):
         return [np.zeros(len(s)) for s in series]
@@ -87,14 +94,19 @@ def chart(series: Sequence[np.ndarray]) -> list[np.ndarray]:
     for k, s in enumerate(series):
         x[: len(s), k] = s
         y[: len(s), k] = s[::-1]
-    level, square = _pass(x, size)
-    back, back_square = _pass(y, size)
-    out = []
-    for k, n in enumerate(size):
-        middle = (level[:n, k] + back[:n, k][::-1]) / 2
-        scale = np.sqrt((square[:n, k] + back_square[:n, k][::-1]) / 2)
-        out.append(np.abs(x[:n, k] - middle) / scale)
-    return out
+    out, back_out = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    distances: list[np.ndarray] = []
+    for _ in range(2):
+        level, square = _pass(x, size, out)
+        back, back_square = _pass(y, size, back_out)
+        distances = []
+        for k, n in enumerate(size):
+            middle = (level[:n, k] + back[:n, k][::-1]) / 2
+            scale = np.sqrt((square[:n, k] + back_square[:n, k][::-1]) / 2)
+            distances.append(np.abs(x[:n, k] - middle) / scale)
+            far = distances[-1] > LIMIT
+            out[:n, k], back_out[:n, k] = far, far[::-1]
+    return distances
 
 
 def flag_series(series: Sequence[np.ndarray]) -> list[np.ndarray]:
