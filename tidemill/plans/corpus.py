@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PY_SPACE, is_blank, py_strip, ws_norm
 from ..operators import corpus, offsets
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .catalog import Catalog
 
 catalog = Catalog()
@@ -15,7 +15,7 @@ QUERIES, SQL, query, relational = catalog.queries, catalog.sql, catalog.query, c
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 _STRIP = f"regexp_replace(coalesce(text, ''), '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g')"

@@ -68,6 +68,15 @@ relational(
     r"""SELECT doc_id, regexp_extract(text, '\\[[^\\[\\]]*\\]', 0) AS found FROM documents WHERE text RLIKE '\\[[^\\[\\]]*\\]'""",
 )
 
+
+
+@query(r"""SELECT line_id, try_cast(regexp_extract(line, 'step=(\d+)', 1) AS BIGINT) AS step, try_cast(regexp_extract(line, 'train=([0-9.]+)', 1) AS DOUBLE) AS train FROM loss_lines WHERE regexp_matches(line, 'step=\d+')""")
+def s12_console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console lines among the run logs, scraped by pattern."""
+    lines = table(spark, sf_dir, "loss_lines").where(F.col("line").rlike(r"step=\d+"))
+    return lines.select("line_id", F.regexp_extract("line", r"step=(\d+)", 1).try_cast("bigint").alias("step"), F.regexp_extract("line", "train=([0-9.]+)", 1).try_cast("double").alias("train"))
+
+
 over("j15_anchor_steps", "kept", """WITH f AS (SELECT run, max(step) AS top FROM kept WHERE kind = 'step' GROUP BY run) SELECT run, anchor FROM f JOIN (VALUES (4096000), (8192000), (16384000)) AS t(tokens) ON CAST(tokens / 512 AS BIGINT) > 0
 JOIN (VALUES (8000), (16000), (32000)) AS a(anchor) ON anchor <= top AND anchor * 512 = tokens""")
 over("j16_newest_checkpoint", "kept", "SELECT run, max(step) AS newest FROM kept WHERE kind = 'chunk_complete' GROUP BY run")
