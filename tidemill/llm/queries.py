@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import packing, subjects, tokens
 
 QUERIES = {}
@@ -22,18 +22,22 @@ def query(sql: str | None = None):
     return register
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # 7. Encoding of the whole corpus
 
 
 @query()
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_ids(table(spark, sf_dir, "documents"))
+    return tokens.token_ids(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 @query()
 def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, tokens and characters per source."""
-    counts = tokens.token_counts(table(spark, sf_dir, "documents").withColumn("chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")), ["source", "chars"])
+    counts = tokens.token_counts(_documents(spark, sf_dir).withColumn("chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")), ["source", "chars"])
     return counts.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_tokens").alias("tokens"), F.sum("chars").alias("chars"))
 
 
@@ -41,7 +45,7 @@ def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    counts = tokens.token_counts(_documents(spark, sf_dir), ["doc_id", "source"])
     return packing.pack_windows(counts, table(spark, sf_dir, "context_windows"))
 
 
@@ -61,7 +65,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = subjects.fit(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects"))
-    return subjects.subject_areas(documents, model)
+    return subjects.subject_areas(spread(documents.select("doc_id", "text")), model)
 
 
 @query()
