@@ -140,3 +140,30 @@ def z03_random_crops(spark: SparkSession, sf_dir: str, draws: int = 32, context:
     n = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")).alias("n")).where(F.col("n") > context + 1)
     d = n.select("source", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw_ix"))
     return d.select("source", "draw_ix", F.pmod(F.xxhash64("source", "draw_ix", F.lit(seed)), F.col("n") - context - 1).alias("offset"))
+
+
+@query("""SELECT doc_id, right(hex(encode(text)), CAST(2 * (octet_length(encode(text)) - floor(octet_length(encode(text)) * 0.9::DOUBLE)) AS BIGINT)) AS tail FROM documents WHERE text <> ''""")
+def s14_tail_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last tenth of every text's bytes, as hex."""
+    d = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    n = F.octet_length("b")
+    return d.select("doc_id", F.hex(F.substr("b", (F.floor(n * 0.9) + 1).cast("int"), n)).alias("tail"))
+
+
+@query("""SELECT to_json({'row_key': CAST(e.id AS VARCHAR), 'reason': 'missing'}) AS finding FROM task_events e LEFT JOIN (SELECT DISTINCT id FROM tasks) t ON e.task_id = t.id
+WHERE t.id IS NULL AND e.task_id IS NOT NULL AND trim(e.task_id) <> ''""")
+def k11_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as JSON lines, ready for a text sink."""
+    from ..operators import references
+
+    found = references.orphans(table(spark, sf_dir, "task_events"), "id", "task_id", table(spark, sf_dir, "tasks"), "id", "task_events").where("reason = 'missing'")
+    return found.select(F.to_json(F.struct("row_key", "reason")).alias("finding"))
+
+
+@query()
+def g07_newest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest files of a tree with their sizes in MB and kind."""
+    from ..sources.tokenfiles import file_table
+
+    files = file_table(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.round(F.col("n_bytes") / 1048576, 1).alias("size_mb"), "modified_at")
+    return files.orderBy(F.desc("modified_at"), "name").limit(25).select("name", "size_mb", F.when(F.contains("name", F.lit("_best")), "best").otherwise("step").alias("kind"))
