@@ -73,3 +73,25 @@ def test_one_table_reads_renamed_and_wrapped_values(spark):
     assert len(rows) == 24 and sum(r.gnorm is None for r in rows) == 4
     cast = {(r.file_seq, r.name): (r.filled, r.failed) for r in s.failed_casts(df).collect()}
     assert cast[(3, "gnorm")] == (8, 4) and cast[(2, "gnorm")] == (8, 0)
+
+
+def test_one_table_keeps_settings_and_every_step_field(spark):
+    odd = {"lr": 0.1, "use_rope": True, "seed": 9007199254740993, "tags": ["a", "b"], "corpus": "c.bin", "extra": {"value": 1, "unit": "x"}}
+    files = {1: (odd, steps(gnorm=G, wall_s=[900.5], Wall_s=[1], producer=["me"])), 2: ({**odd, "use_rope": "false", "lr": "high"}, steps(gnorm=G, wall_s=["x", 901.5]))}
+    df = build(spark, files)
+    header = spark.createDataFrame([(99, "q", 1, "f", 1, '{"args": {"lr": [0.2]}, "unit": "tok"}', "x"), (98, "q", 1, "f", 2, '{"args": 3}', "x")], SCHEMA)
+    df = df.unionByName(header)
+    table = s.one_table(df)
+    kinds = dict(table.dtypes)
+    assert [kinds[c] for c in ("args.lr", "args.seed", "args.use_rope", "args.tags", "wall_s_", "Wall_s", "producer_")] == ["double", "bigint", "boolean", "string", "double", "bigint", "string"]
+    rows = {(r.producer, r.file_seq, r.line_no): r.asDict() for r in table.collect()}
+    assert len(rows) == 20
+    first, second = rows[("p", 1, 1)], rows[("p", 2, 1)]
+    assert (first["args.lr"], first["args.seed"], first["args.use_rope"], first["args.tags"], first["args.corpus"]) == (0.1, 9007199254740993, True, '["a","b"]', "c.bin")
+    assert json.loads(first["args.extra"]) == {"value": 1, "unit": "x"}
+    assert second["args.lr"] is None and second["args.use_rope"] is False
+    assert rows[("q", 1, 1)]["args.lr"] == 0.2 and rows[("q", 1, 1)]["unit"] == "tok" and rows[("q", 1, 2)]["args"] == 3
+    assert rows[("p", 1, 2)]["wall_s_"] == 900.5 and rows[("p", 1, 2)]["Wall_s"] == 1 and rows[("p", 1, 2)]["producer_"] == "me"
+    cast = {(r.producer, r.file_seq, r.name): (r.filled, r.failed) for r in s.failed_casts(df).collect()}
+    assert cast[("p", 2, "args.lr")] == (1, 1) and cast[("p", 1, "args.lr")] == (1, 0)
+    assert cast[("p", 2, "wall_s")] == (8, 4) and cast[("p", 1, "args.tags")] == (1, 0)

@@ -11,7 +11,8 @@ before it. A field that leaves and one that comes in the same file are the same
   sooner or later, two names of one quantity do not,
 
 and each is the other's best partner by level, share of nulls, name and number of such pairs in the whole input. The table then
-reads every path under the first of its names and casts it; failed casts are counted per file.
+reads every path, settings included, under the most widespread of its names and casts it to the type of most of its values;
+failed casts are counted per file.
 
 Defined results: a body that is no JSON object has no fields but still makes its file exist; nulls have no type; a producer's
 first file shows no change; lines stored twice count twice in the statistics and change nothing else; a field with nulls only
@@ -192,20 +193,76 @@ def first_names(renamed: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "path string, name string")
 
 
+def _line_values(records: DataFrame) -> DataFrame:
+    """producer, file_seq, line_no, path, filled, text, num, whole, truth of every field, those beside a header's ``args`` included.
+
+    Unlike in the statistics, a list of several elements and an object with more than its ``value`` keep their whole text.
+    """
+    parsed = records.select(*_FILE, "line_no", F.expr("try_parse_json(body)").alias("v"))
+    top, args = F.expr("try_variant_get(v, '$', 'map<string,variant>')"), F.expr("try_variant_get(v, '$.args', 'map<string,variant>')")
+    settings = F.transform(F.map_entries(args), lambda e: F.struct(F.concat(F.lit("args."), e["key"]).alias("key"), e["value"].alias("value")))
+    own = F.when(args.isNull(), F.map_entries(top)).otherwise(F.filter(F.map_entries(top), lambda e: e["key"] != "args"))
+    flat = parsed.select(*_FILE, "line_no", F.inline(F.when(args.isNull(), own).otherwise(F.concat(settings, own))).alias("path", "value"))
+    several = F.expr("try_variant_get(value, '$[1]', 'variant') IS NOT NULL OR coalesce(size(try_variant_get(value, '$', 'map<string,variant>')), 0) > 1")
+    flat = flat.select(*_FILE, "line_no", "path", _kind(F.expr("schema_of_variant(value)")).isNotNull().alias("filled"), F.when(several, F.expr("to_json(value)")).otherwise(_unwrapped("value")).alias("text"))
+    truth = F.when(F.lower("text") == "true", True).when(F.lower("text") == "false", False)
+    flat = flat.withColumn("truth", truth).withColumn("whole", F.expr("try_cast(text AS bigint)"))
+    return flat.withColumn("num", F.coalesce(F.expr("try_cast(text AS double)"), F.col("truth").cast("double")))
+
+
 def _named_values(records: DataFrame) -> DataFrame:
     stats = measured_statistics(records)
     names = first_names(renames(_neighbours(records, stats), stats))
-    values = path_values(records).where(~F.col("path").startswith("args."))
-    return values.join(F.broadcast(names), "path", "left").withColumn("name", F.coalesce("name", "path"))
+    return _line_values(records).join(F.broadcast(names), "path", "left").withColumn("name", F.coalesce("name", "path"))
 
 
-def one_table(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """The step rows of all files as one table of doubles, one row per (producer, file, line)."""
-    return _named_values(records).groupBy(*_FILE, "line_no").agg(*[F.max(F.when(F.col("name") == c, F.col("num"))).alias(c) for c in columns])
+def _field_types(values: DataFrame, columns: tuple[str, ...]) -> dict[str, str]:
+    """The type that most filled values of each name have; ``columns`` come first and are doubles. As many as names, not rows."""
+    counts = values.groupBy("name").agg(F.count_if("filled").alias("n"), F.count("num").alias("n_num"), F.count("truth").alias("n_truth"), F.count("whole").alias("n_whole")).orderBy("name")
+    types = dict.fromkeys(columns, "double")
+    for r in counts.collect():
+        kind = "string"
+        if 2 * r.n_truth > r.n:
+            kind = "boolean"
+        elif 2 * r.n_num > r.n:
+            kind = "bigint" if r.n_whole == r.n_num else "double"
+        types.setdefault(r.name, kind)
+    return types
 
 
-def failed_casts(records: DataFrame) -> DataFrame:
-    """Per file and field: filled values and those that are no number."""
-    return _named_values(records).groupBy(*_FILE, "name").agg(
-        F.count("kind").alias("filled"), F.count_if(F.col("kind").isNotNull() & F.col("num").isNull()).alias("failed"), F.countDistinct("path").alias("spellings")
-    )
+def _cast(kind: str) -> Column:
+    as_truth = F.when(F.col("num").isin(0.0, 1.0), F.col("num") == 1.0)
+    return {"double": F.col("num"), "bigint": F.col("whole"), "boolean": as_truth, "string": F.col("text")}[kind]
+
+
+def _free_names(names: list[str]) -> list[str]:
+    """Column names that differ from the keys and, whatever their case, from each other."""
+    taken, out = {*_FILE, "line_no"}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_table(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """All fields and settings (``args.x``) of all files as one typed table, one row per (producer, file, line).
+
+    ``columns`` are always there, as doubles; every other name of the input follows with the type of most of its values. A name
+    that is taken but for its case gets an underscore. If a line has two values of one name, the larger one is kept.
+    """
+    values = _named_values(records)
+    types = _field_types(values, columns)
+    picked = [F.max(F.when(F.col("filled") & (F.col("name") == c), _cast(kind))).alias(free) for (c, kind), free in zip(types.items(), _free_names(list(types)))]
+    return values.groupBy(*_FILE, "line_no").agg(*picked)
+
+
+def failed_casts(records: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """Per file and name, settings included: filled values and those that ``one_table`` cannot read with the name's type."""
+    values = _named_values(records)
+    types = _field_types(values, columns)
+    fits = F.lit(False)
+    for kind in ("double", "bigint", "boolean", "string"):
+        fits = fits | (F.col("name").isin([c for c, k in types.items() if k == kind]) & _cast(kind).isNotNull())
+    return values.groupBy(*_FILE, "name").agg(F.count_if("filled").alias("filled"), F.count_if(F.col("filled") & ~fits).alias("failed"), F.countDistinct("path").alias("spellings"))
