@@ -67,3 +67,14 @@ def test_frame(spark):
     assert sorted(loaded) == [2, 7, 8, 10, 12]
     assert loaded[2].gnorm == 0.5 and loaded[2].note == "n" and loaded[8].step == 4 and loaded[7].kind == "header" and len(loaded[12].note) == 300_000
     assert m.failed_lines(df.limit(0)).count() == 0
+
+
+def test_loaded_rows_keep_fields_of_other_names(spark):
+    rows = [
+        (1, "g.jsonl", 1, "jsonl", '{"args": {"a": [1, 2]}, "params_m": 3.5, "unit": "tok"}'), (2, "g.jsonl", 2, "jsonl", '{"step": 4, "throughput": true, "tok_per_sec": 9.5, "tag": null}'),
+        (3, "f.csv", 1, "csv", "step,train,lstd"), (4, "f.csv", 2, "csv", "1,2.5,0.25"),
+    ]
+    df = spark.createDataFrame(rows, "line_id bigint, file_name string, line_no int, file_format string, line string")
+    loaded = {r.line_id: r.fields for r in m.loaded_rows(df).collect()}
+    assert loaded[1] == {"args": '{"a": [1, 2]}', "params_m": "3.5", "unit": "tok"}
+    assert loaded[2] == {"step": "4", "throughput": "true", "tok_per_sec": "9.5", "tag": None} and loaded[4] == {"step": "1", "train": "2.5", "lstd": "0.25"}

@@ -196,6 +196,6 @@ def failed_lines(lines: DataFrame) -> DataFrame:
 
 
 def loaded_rows(lines: DataFrame) -> DataFrame:
-    """The valid rows with typed columns; fields of other names stay in ``fields``."""
+    """The valid rows with typed columns; ``fields`` has every field as text, those of other names included."""
     typed = [F.expr(f"try_cast(fields['{c}'] AS double)").alias(c) for c in TYPED[2:]]
-    return parse_lines(lines).where("ok").select("line_id", "file_name", "line_no", "kind", "step", "train", *typed, F.col("fields")["note"].alias("note"))
+    return parse_lines(lines).where("ok").select("line_id", "file_name", "line_no", "kind", "step", "train", *typed, F.col("fields")["note"].alias("note"), "fields")
