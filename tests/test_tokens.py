@@ -95,3 +95,16 @@ def test_distribution(spark):
     d = spark.createDataFrame([([0.0, 1.0, 2.0],)], "v array<double>").select(t.softmax(F.col("v")).alias("p")).select("p", *t.distribution(F.col("p"))).first()
     p = np.exp([0.0, 1.0, 2.0]) / np.exp([0.0, 1.0, 2.0]).sum()
     assert np.allclose(d.p, p) and d.top_id == 2 and abs(d.entropy + (p * np.log(p)).sum()) < 1e-9
+
+
+def test_all_pairs_cover_every_byte(spark):
+    texts = {1: "x" * 40 + "é😀", 2: "ab", 3: "a", 4: "", 5: None, 6: "0123456789abcdef", 7: "0123456789abcdefg"}
+    rows = t.all_pairs(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 16).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.offset)):
+        got.setdefault(r.doc_id, []).append((r.offset, bytes(r.x), bytes(r.y)))
+    assert sorted(got) == [1, 2, 6, 7] and [len(got[k]) for k in (1, 2, 6, 7)] == [3, 1, 1, 1]
+    for k, windows in got.items():
+        raw = texts[k].encode()
+        assert b"".join(x for _, x, _ in windows) == raw[:-1] and b"".join(y for _, _, y in windows) == raw[1:]
+        assert all(o % 16 == 0 and raw[o:].startswith(x) for o, x, _ in windows)

@@ -117,6 +117,16 @@ def pairs_of(ids: Column, offset: Column, context: int) -> list[Column]:
     return [F.slice(ids, offset + 1, context).alias("x"), F.slice(ids, offset + 2, context).alias("y")]
 
 
+def all_pairs(texts: DataFrame, context: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, offset, x, y (binary): the byte windows at 0, context, 2 context, ... of every text, each with the same window one
+    byte later. The last window is as short as what is left, so every byte but the last is in one x; texts under two bytes have none."""
+    raw = texts.select(key, F.col(text).cast("binary").alias("b")).where(F.octet_length("b") >= 2)
+    starts = F.sequence(F.lit(0), F.octet_length("b") - 2, F.lit(context))
+    size = lambda o: F.least(F.lit(context), F.octet_length("b") - 1 - o)
+    windows = F.transform(starts, lambda o: F.struct(o.alias("offset"), F.substring(F.col("b"), o + 1, size(o)).alias("x"), F.substring(F.col("b"), o + 2, size(o)).alias("y")))
+    return raw.select(key, F.inline(windows))
+
+
 def check_stream(encoded: DataFrame, vocab_size: int) -> DataFrame:
     """Acceptance checks over (key, ids): one row per check."""
     facts = encoded.agg(

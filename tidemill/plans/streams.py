@@ -66,13 +66,22 @@ def z10_head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS hs FROM documents WHERE length(text) > 0)
 SELECT doc_id, array_to_string(hs[1:16], '') AS x, array_to_string(hs[2:17], '') AS y FROM b WHERE len(hs) >= 17""")
 def d12_shifted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First window of each text and the same window one token later."""
+    """First window of each text and the same window one token later; ``d12_all_windows`` has every window."""
     ids = corpus.byte_ids(table(spark, sf_dir, "documents").where("length(text) > 0")).where("n >= 17")
     x, y = tokens.pairs_of(F.col("ids"), F.lit(0), 16)
     hexed = lambda c: F.array_join(F.transform(c, lambda i: F.lpad(F.hex(i), 2, "0")), "")
     return ids.select("doc_id", x, y).select("doc_id", hexed("x").alias("x"), hexed("y").alias("y"))
 
 
+@query("""WITH b AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) >= 2),
+w AS (SELECT doc_id, h, n, unnest(range(0, n - 1, 16)) AS o FROM b)
+SELECT doc_id, CAST(o AS INT) AS "offset", substr(h, 2 * o + 1, 2 * least(16, n - 1 - o)) AS x, substr(h, 2 * o + 3, 2 * least(16, n - 1 - o)) AS y FROM w""")
+def d12_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of each whole text and the same window one token later."""
+    w = tokens.all_pairs(table(spark, sf_dir, "documents"), 16)
+    return w.select("doc_id", "offset", F.hex("x").alias("x"), F.hex("y").alias("y"))
+
+
 @query("WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) SELECT CAST('0x' || h AS INT) AS id, count(*) AS n FROM b GROUP BY h ORDER BY n DESC, id LIMIT 10")
 def a24_top_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = corpus.byte_histogram(table(spark, sf_dir, "documents").withColumn("g", F.lit("all")), "g")
