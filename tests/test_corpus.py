@@ -78,3 +78,11 @@ def test_running_total(spark):
             g = None if not by or i % 3 == 0 else i % 3
             assert got[i * 3 - 500] == acc.get(g, 0)
             acc[g] = acc.get(g, 0) + i % 7
+
+
+def test_near_equal_chunks_follow_the_total(spark):
+    from tidemill.operators.offsets import near_equal_chunks
+
+    sizes = lambda d: [r["count"] for r in near_equal_chunks(d, "k", 4).groupBy("chunk").count().orderBy("chunk").collect()]
+    assert sizes(spark.range(10_003).selectExpr("id * 7 + 90000 AS k")) == [2500, 2500, 2500, 2503]
+    assert sizes(spark.range(3).selectExpr("id AS k")) == [1, 1, 1] and sizes(spark.range(0).selectExpr("id AS k")) == []

@@ -38,3 +38,10 @@ def running_total(rows: DataFrame, order: str, value: Column, by: Sequence[str]
         at = at & F.col(b).eqNullSafe(F.col(f"_k{i}"))
     joined = inside.join(renamed, at).withColumn(name, F.col("_b") + F.col("_i"))
     return joined.drop("_v", "_s", "_u", "_i", "_s2", "_b", *[f"_k{i}" for i in range(len(by))])
+
+
+def near_equal_chunks(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """All columns and ``chunk``: ``n`` chunks of total // n rows each in the sequence of ``order`` (a unique whole number), the remainder in the last."""
+    per = max(rows.count() // n, 1)
+    numbered = running_total(rows, order, F.lit(1).cast("bigint"), name="_ix")
+    return numbered.withColumn("chunk", F.least(F.floor(F.col("_ix") / per), F.lit(n - 1).cast("bigint"))).drop("_ix")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, tokens
+from ..operators.offsets import near_equal_chunks
 from ..sources import tokenfiles
 from ..sources.tables import table
 from .catalog import Catalog
@@ -177,6 +178,14 @@ def s11_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, least(doc_id // 250, 3) AS chunk FROM documents")
 def r05_line_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line counts, and near-equal chunks with the remainder in the last."""
+    """Line counts, and chunks of 250 ids, the rest in the last; ``r05_equal_chunks`` takes the size of a chunk from the total."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"), F.least(F.floor(F.col("doc_id") / 250), F.lit(3)).alias("chunk"))
+
+
+@query("""SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, CAST(least((row_number() OVER (ORDER BY doc_id) - 1) // greatest((SELECT count(*) FROM documents) // 4, 1), 3) AS BIGINT) AS chunk FROM documents""")
+def r05_equal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts, and four near-equal chunks with the remainder in the last."""
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"))
+    return near_equal_chunks(lines, "doc_id", 4)
