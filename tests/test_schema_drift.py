@@ -95,3 +95,11 @@ def test_one_table_keeps_settings_and_every_step_field(spark):
     cast = {(r.producer, r.file_seq, r.name): (r.filled, r.failed) for r in s.failed_casts(df).collect()}
     assert cast[("p", 2, "args.lr")] == (1, 1) and cast[("p", 1, "args.lr")] == (1, 0)
     assert cast[("p", 2, "wall_s")] == (8, 4) and cast[("p", 1, "args.tags")] == (1, 0)
+
+
+def test_names_beyond_the_bound_are_the_same(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(20)]
+    pairs = chain + [("gnorm", "grad_norm"), ("gnorm", "g_norm"), ("grad_norm", "g_norm"), ("gradNorm", "gnorm"), ("gnorm", "gnorm2")] + [("b", "a"), ("b", "a"), ("a", "b")]
+    renamed = spark.createDataFrame(pairs, "field_from string, field_to string")
+    named = lambda bound: sorted(map(tuple, s.first_names(renamed, bound).collect()))
+    assert named(3) == named(10_000) and len(named(3)) == 28 and dict(named(3))["gradNorm"] == "gnorm"

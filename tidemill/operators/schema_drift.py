@@ -166,15 +166,34 @@ def measured_statistics(records: DataFrame) -> DataFrame:
     return cut(path_statistics(path_values(records)))
 
 
-def first_names(renamed: DataFrame) -> DataFrame:
+def _joined_names(pairs: DataFrame) -> DataFrame:
+    """``first_names`` of any number of pairs (field_from, field_to, n): the smallest name of each group spreads along the pairs."""
+    from ..session import cut
+
+    pairs = cut(pairs)
+    both = pairs.select(F.col("field_from").alias("a"), F.col("field_to").alias("b")).union(pairs.select("field_to", "field_from"))
+    labels, moved = cut(both.select(F.col("a").alias("path"), F.col("a").alias("root")).distinct()), 1
+    while moved:
+        near = both.join(labels, F.col("a") == F.col("path")).groupBy("b").agg(F.min("root").alias("low"))
+        step = cut(labels.join(near, F.col("path") == F.col("b")).select("path", "root", F.least("root", "low").alias("low")))
+        moved = step.where(F.col("low") < F.col("root")).count()
+        ahead = step.select(F.col("path").alias("of"), F.col("low").alias("next"))
+        labels = cut(step.join(ahead, F.col("low") == F.col("of")).select("path", F.col("next").alias("root")))
+    left = pairs.groupBy(F.col("field_from").alias("of")).agg(F.sum("n").alias("n"))
+    best = labels.join(left, F.col("path") == F.col("of"), "left").groupBy("root").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "path")).alias("best"))
+    return labels.join(best, "root").select("path", F.col("best.path").alias("name"))
+
+
+def first_names(renamed: DataFrame, bound: int = 10_000) -> DataFrame:
     """path, name: every name that ever took part in a rename and the most widespread name of the same quantity.
 
-    The pairs of names are as many as there are spellings, not rows; beyond the measured bound the paths keep their names.
+    The pairs of names are as many as there are spellings, not rows; beyond ``bound`` they are grouped by joins, to the same names.
     """
-    pairs = renamed.groupBy("field_from", "field_to").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "field_from", "field_to").limit(10_001).collect()
+    counted = renamed.groupBy("field_from", "field_to").agg(F.count(F.lit(1)).alias("n"))
+    pairs = counted.orderBy(F.desc("n"), "field_from", "field_to").limit(bound + 1).collect()
     spark = renamed.sparkSession
-    if len(pairs) > 10_000:
-        return spark.createDataFrame([], "path string, name string")
+    if len(pairs) > bound:
+        return _joined_names(counted)
     root: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -213,7 +232,7 @@ def _line_values(records: DataFrame) -> DataFrame:
 def _named_values(records: DataFrame) -> DataFrame:
     stats = measured_statistics(records)
     names = first_names(renames(_neighbours(records, stats), stats))
-    return _line_values(records).join(F.broadcast(names), "path", "left").withColumn("name", F.coalesce("name", "path"))
+    return _line_values(records).join(measured(names), "path", "left").withColumn("name", F.coalesce("name", "path"))
 
 
 def _field_types(values: DataFrame, columns: tuple[str, ...]) -> dict[str, str]:
