@@ -86,3 +86,11 @@ def test_near_equal_chunks_follow_the_total(spark):
     sizes = lambda d: [r["count"] for r in near_equal_chunks(d, "k", 4).groupBy("chunk").count().orderBy("chunk").collect()]
     assert sizes(spark.range(10_003).selectExpr("id * 7 + 90000 AS k")) == [2500, 2500, 2500, 2503]
     assert sizes(spark.range(3).selectExpr("id AS k")) == [1, 1, 1] and sizes(spark.range(0).selectExpr("id AS k")) == []
+
+
+def test_text_shards_leave_out_only_what_is_done(spark, sf):
+    from tidemill.plans.smaller import QUERIES
+
+    shards = lambda *done: {r.source for r in QUERIES["k04_all_shards"](spark, sf, *done).collect()}
+    every = shards()
+    assert {"web_0001", "web_0002"} & every and shards(("web_0001",)) == every - {"web_0001"}

@@ -34,6 +34,13 @@ def k04_text_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.length("t") > 100).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("t").cast("bigint")).alias("chars"))
 
 
+@query(f"SELECT source, count(*) AS texts, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT source, {_STRIP} AS t FROM documents WHERE source IS NOT NULL) WHERE length(t) > 100 GROUP BY source")
+def k04_all_shards(spark: SparkSession, sf_dir: str, done: tuple[str, ...] = ()) -> DataFrame:
+    """As ``k04_text_shards``, with the shards already done as a parameter: none of them unless named."""
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL").where(~F.col("source").isin(*done)).select("source", py_strip(F.coalesce("text", F.lit(""))).alias("t"))
+    return d.where(F.length("t") > 100).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("t").cast("bigint")).alias("chars"))
+
+
 relational("k14_content_hash", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL", "SELECT doc_id, sha2(text, 256) AS sha FROM documents WHERE text IS NOT NULL")
 relational(
     "k08_part_sizes",
