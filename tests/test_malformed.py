@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemill.operators import malformed as m
 
@@ -51,7 +53,35 @@ def test_tsv_header_and_formats():
 
 
 def test_assemble_joins_open_quotes():
-    assert list(m.assemble(["a,b", '1,"x', 'y"', "2,z"])) == ["a,b", '1,"x\ny"', "2,z"]
+    assert list(m.assemble(["a,b", '1,"x', 'y"', "2,z"])) == [("a,b", False), ('1,"x\ny"', False), ("2,z", False)]
+    assert list(m.assemble(['1,"x', "y"])) == [('1,"x\ny', True)] and list(m.assemble([])) == []
+    assert list(m.assemble(['1,"x', 'y"', "z"], span=1)) == [('1,"x', True), ('y"', True), ("z", False)]
+
+
+HUGE = ['{"step":1,"train":' + "9" * 401 + "}", '{"step":' + "7" * 5000 + ',"train":2}', '{"step":1,"train":' + "9" * 4500 + "}", '{"step":1e99999999999999999999,"train":-1E400}', '{"step":9223372036854775808,"train":1}']
+
+
+def test_no_number_is_too_large(spark):
+    for line in HUGE:
+        assert reason(line, "jsonl") is None
+    assert reason("9" * 5000 + ",2.5,,") is None and reason("1," + "9" * 500 + ",,") == "train: not finite"
+    assert reason('{"step":1e-400,"train":1}', "jsonl") == reason('{"step":10e-2,"train":1}', "jsonl") == "step: not a whole number"
+    assert reason('{"step":-0.0,"train":1}', "jsonl") is None and reason('{"step":-1e99,"train":1}', "jsonl") == "step: negative"
+    assert m.read_json('{"step":1200e-2,"train":1}')[1] == 12 and m.read_json('{"step":1.2e3,"train":1}')[1] == 1200
+    lines = [*HUGE, '{"step":2,"train":1,"note":"\\ud800 x"}', '{"step":3,"train":1,"n":' + "[" * 500 + "1.50" + "]" * 500 + "}"]
+    df = spark.createDataFrame([(i, "g", i, "jsonl", x) for i, x in enumerate(lines)], "line_id bigint, file_name string, line_no int, file_format string, line string")
+    rows = {r.line_id: r for r in m.loaded_rows(df).collect()}
+    assert sorted(rows) == list(range(7)) and m.failed_lines(df).count() == 0
+    assert rows[0].train is None and rows[0].fields["train"] == "9" * 401 and rows[1].step is None and rows[1].fields["step"] == "7" * 5000 and rows[4].step is None
+    assert rows[5].note == "\\ud800 x" and rows[6].fields["n"] == "[" * 500 + "1.50" + "]" * 500
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.binary(max_size=40).map(lambda b: b.decode("utf-8", "surrogateescape")), st.text(alphabet='{}[]",:step train0123456789eE.-+\\u\r\n\x00', max_size=60)), st.sampled_from(["csv", "tsv", "jsonl", None, "x"]), st.sampled_from([HEAD, HEAD + "\r", "step\ttrain", None, '"', ""]))
+def test_no_line_stops_the_job(line, form, header):
+    ok, why, kind, *_ = got = m.judge(line, form, header)
+    assert ok == (why is None) == (kind is not None)
+    m.pa.array([x for x in got if isinstance(x, str)], m.pa.string())
 
 
 def test_frame(spark):
