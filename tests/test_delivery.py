@@ -1,5 +1,7 @@
+import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemill.operators import delivery
@@ -47,13 +49,56 @@ def test_report_counts_differing_values(spark):
     assert got == {"a": (4, 2, 3, 1), None: (1, 1, 1, 1)}
 
 
+def messages(spark, n):
+    return spark.range(n).select(F.lit("r").alias("run"), F.lit(1).alias("attempt"), F.lit("step").alias("kind"), F.col("id").alias("step"))
+
+
 def test_permutation_is_one_to_one(spark):
-    ids = spark.range(20000).select(F.lit("r").alias("run"), F.lit(1).alias("attempt"), F.lit("step").alias("kind"), F.col("id").alias("step"))
-    words = ids.select(*delivery.permuted_identity(["run", "attempt", "kind"], "step"))
+    words = messages(spark, 20000).select(*delivery.permuted_identity(["run", "attempt", "kind"], "step"))
     assert words.distinct().count() == 20000
     assert words.select("quotient").distinct().count() > 10000
     low, high = words.agg(F.min("quotient"), F.max("quotient")).first()
     assert 0 <= low and high < 1 << delivery.QUOTIENT_BITS
+    three = messages(spark, 5000).select(*delivery.permuted_identity(["run", "attempt", "kind"], "step", (0, 1)))
+    assert three.columns == ["quotient", "r0", "r1", "r2"] and three.distinct().count() == 5000
+
+
+def test_colliding_images_get_another_word(spark, monkeypatch):
+    real = delivery._image
+    monkeypatch.setattr(delivery, "_image", lambda texts, seed: F.lit(7).cast("bigint") if seed == 0 else real(texts, seed))
+    assert delivery.identity_seeds(rows(spark), ID["texts"]) == [0, 1]
+    assert {r.row_id for r in delivery.surplus_copies(rows(spark), **ID).collect()} == {1, 3, 5, 10}
+
+
+def test_equal_quotients_do_not_match(spark):
+    """With a single bit of quotient nearly all entries share a shard; with none in common they must all stay."""
+    d = messages(spark, 3000).withColumn("row_id", F.col("step") + 10).withColumn("delivered_at", F.lit(at(1)))
+    assert delivery.surplus_copies(d, **ID, quotient_bits=1).count() == 0
+    twice = d.unionByName(d.withColumn("row_id", F.col("row_id") + 100_000))
+    got = {r.row_id for r in delivery.surplus_copies(twice, **ID, quotient_bits=1).collect()}
+    assert got == {i + 100_010 for i in range(3000)}
+
+
+def test_shard_carries_an_open_word_over():
+    a = np.array
+    shard = delivery._Shard()
+    assert shard.surplus([a([1, 1, 2]), a([5, 5, 5])], a([10, 11, 12])).tolist() == [False, True, False]
+    assert shard.surplus([a([2, 2, 2]), a([5, 5, 6])], a([12, 13, 14])).tolist() == [False, True, False]
+    assert shard.surplus([a([2]), a([6])], a([15])).tolist() == [True]
+
+
+def test_random_rows_against_a_dictionary(spark, monkeypatch):
+    r = random.Random(5)
+    data = [(i, r.choice(["a", "b", None]), r.randrange(2), r.choice(["step", "x"]), r.choice([None, *range(40)]), r.choice([None, at(r.randrange(50))])) for i in range(3000)]
+    d = spark.createDataFrame(data, "row_id bigint, run string, attempt int, kind string, step bigint, delivered_at timestamp").repartition(5)
+    best = {}
+    for i, *key, t in data:
+        if key[3] is not None:
+            best[tuple(key)] = min(best.get(tuple(key), (datetime.max, 1 << 62)), (t or datetime.max, i))
+    want = {x[0] for x in data if x[4] is not None} - {i for _, i in best.values()}
+    assert {x.row_id for x in delivery.surplus_copies(d, **ID).collect()} == want
+    kept = delivery.first_copies(d, **ID, columns=["row_id", "step"])
+    assert {x.row_id for x in kept.collect()} == {x[0] for x in data} - want
 
 
 def test_one_hot_message_and_empty(spark):
