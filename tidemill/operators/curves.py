@@ -14,25 +14,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .offsets import running_total
 
 CURVE = ["run", "attempt"]
 
 
-def kept_rows(loss: DataFrame) -> DataFrame:
-    """One copy of each message; rows without step stay."""
-    from .delivery import keep_one
+_MESSAGE = {"texts": ["run", "attempt", "kind"], "number": "step", "delivered_at": "delivered_at", "row_id": "row_id"}
 
-    return keep_one(loss, ["run", "attempt", "kind"], "step", "delivered_at", "row_id")
 
+def kept_rows(loss: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One copy of each message; rows without step stay. The identity is always there, of the other columns those named (all)."""
+    from .delivery import first_copies
 
-def step_rows(loss: DataFrame) -> DataFrame:
-    return kept_rows(loss).where((F.col("kind") == "step") & F.col("step").isNotNull())
+    key = [*_MESSAGE["texts"], _MESSAGE["number"]]
+    return first_copies(loss, **_MESSAGE, columns=[*key, *[c for c in (loss.columns if columns is None else columns) if c not in key]])
+
+
+def step_rows(loss: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The kept step rows; the kind is part of the identity, so the filter is applied to the scan."""
+    return kept_rows(loss.where((F.col("kind") == "step") & F.col("step").isNotNull()), columns)
 
 
 def evaluations(loss: DataFrame, value: str = "val_bpb") -> DataFrame:
     """run, attempt, step, v of the evaluation rows with a finite value, numbered from 0."""
-    rows = step_rows(loss).select(*CURVE, "step", F.col(value).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))))
+    rows = step_rows(loss, [value]).select(*CURVE, "step", F.col(value).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))))
     return rows.withColumn("ix", F.row_number().over(Window.partitionBy(*CURVE).orderBy("step")) - 1)
 
 
@@ -172,13 +178,40 @@ def smoothed(rows: DataFrame, value: str, span: int = 50, block: int = 4096) ->
             out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    maps = packed.select(*CURVE, "block", compose("xs", "is").alias("m")).groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("block", "m.a", "m.b"))).alias("maps"))
-    chained = maps.select(
-        *CURVE,
-        F.posexplode(
-            F.aggregate("maps", F.array(F.lit(0.0)), lambda acc, m: F.concat(acc, F.array(F.element_at(acc, -1) * m["a"] + m["b"])))
-        ).alias("block", "start"),
-    )
+    # Maps are chained in two levels, so what meets in one row is at most ``block`` block maps.
+    def chain(maps: DataFrame, by: list[str], at: str, start: Column) -> DataFrame:
+        """The value before each map of a group, given the value before the group."""
+        held = maps.groupBy(*by, start.alias("s")).agg(F.array_sort(F.collect_list(F.struct(at, "a", "b"))).alias("maps"))
+        held = held.withColumn("a", F.col("maps.a")).withColumn("b", F.col("maps.b"))
+        return held.select(*by, F.explode(F.arrays_zip(F.col(f"maps.{at}").alias(at), before("a", "b", "s").alias("start"))).alias("z")).select(*by, F.col(f"z.{at}").alias(at), F.col("z.start").alias("start"))
+
+    @F.pandas_udf("array<double>")
+    def before(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for xs, ys, r in zip(a, b, s):
+            got = []
+            for x, y in zip(xs, ys):
+                got.append(r)
+                r = x * r + y
+            out.append(got)
+        return pd.Series(out)
+
+    @F.pandas_udf("struct<a:double,b:double>")
+    def joined_map(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for xs, ys in zip(a, b):
+            p, q = 1.0, 0.0
+            for x, y in zip(xs, ys):
+                p, q = p * x, x * q + y
+            out.append((p, q))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    maps = cut(packed.select(*CURVE, "block", F.floor(F.col("block") / block).alias("upper"), compose("xs", "is").alias("m")).select(*CURVE, "block", "upper", "m.*"))
+    uppers = maps.groupBy(*CURVE, "upper").agg(F.array_sort(F.collect_list(F.struct("block", "a", "b"))).alias("maps"))
+    uppers = uppers.select(*CURVE, "upper", joined_map("maps.a", "maps.b").alias("m")).select(*CURVE, "upper", "m.*")
+    tops = chain(uppers, CURVE, "upper", F.lit(0.0)).select(F.col("run").alias("t_run"), F.col("attempt").alias("t_attempt"), F.col("upper").alias("t_upper"), F.col("start").alias("top"))
+    inside = maps.join(tops, F.col("run").eqNullSafe(F.col("t_run")) & F.col("attempt").eqNullSafe(F.col("t_attempt")) & (F.col("upper") == F.col("t_upper")))
+    chained = chain(inside, [*CURVE, "upper"], "block", F.col("top"))
 
     @F.pandas_udf("array<double>")
     def scan(xs: pd.Series, index: pd.Series, start: pd.Series) -> pd.Series:

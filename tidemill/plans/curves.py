@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ _KEPT = """kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run
 _STEPS = _KEPT + ", steps AS (SELECT * FROM kept WHERE kind = 'step' AND step IS NOT NULL)"
 _EVALS = _STEPS + """, evals AS (SELECT run, attempt, step, val_bpb AS v, row_number() OVER (PARTITION BY run, attempt ORDER BY step) - 1 AS ix
 FROM steps WHERE val_bpb IS NOT NULL AND NOT isnan(val_bpb) AND abs(val_bpb) < CAST('Infinity' AS DOUBLE))"""
-_SHARED = {"kept": curves.kept_rows, "steps": curves.step_rows, "evals": curves.evaluations}
+_SHARED = {"kept": curves.kept_rows, "steps": curves.step_rows}
 
 
 def over(name: str, base: str, body: str) -> None:
@@ -26,7 +28,10 @@ def over(name: str, base: str, body: str) -> None:
     prefix = {"kept": _KEPT, "steps": _STEPS, "evals": _EVALS}[base]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return statement(spark, sf_dir, body, **{base: _SHARED[base](table(spark, sf_dir, "loss"))})
+        loss = table(spark, sf_dir, "loss")
+        used = [c for c in loss.columns if re.search(rf"\b{c}\b", body)]
+        rows = curves.evaluations(loss) if base == "evals" else _SHARED[base](loss, used)
+        return statement(spark, sf_dir, body, **{base: rows})
 
     run.__name__ = name
     QUERIES[name] = run
@@ -73,7 +78,7 @@ def a30_noise_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def w02_running_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recurrence kept as avg50, recomputed; checked against a row-by-row loop in the tests."""
-    return curves.smoothed(curves.step_rows(table(spark, sf_dir, "loss")), "train")
+    return curves.smoothed(curves.step_rows(table(spark, sf_dir, "loss"), ["train"]), "train")
 
 
 over("w03_last_eight", "evals", "SELECT run, attempt, step, count(v) OVER w AS held, round(avg(v) OVER w, 9) AS mean_of_last FROM evals WINDOW w AS (PARTITION BY run, attempt ORDER BY step ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)")
