@@ -1,9 +1,10 @@
 import math
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import is_blank, py_strip, ws_norm
+from tidemill.functions.text import PIECE_PATTERN, is_blank, pieces_of, py_strip, ws_norm
 from tidemill.operators import corpus, offsets
 
 
@@ -35,10 +36,35 @@ def test_cleanse_goldens(spark):
     assert got[4] == ("no_markers", "") and got[5] == ("ok", "\n") and got[6] == ("ok", "body\n")
 
 
-def test_book_body():
-    text = "Produced by x\nProject Gutenberg y\n\nTitle\n\n\n\n*****\nBody\nThe official release date is\nmore\n\nEnd of the Project Gutenberg z\nlegal"
-    assert corpus.book_body(text) == "Title\n\nBody\nmore"
-    assert corpus.book_body("") == "" and corpus.book_body("just text") == "just text"
+BOOKS = [
+    ("Produced by x\nProject Gutenberg y\n\nTitle\n\n\n\n*****\nBody\nThe official release date is\nmore\n\nEnd of the Project Gutenberg z\nlegal", "Title\n\nBody\nmore"),
+    ("", ""),
+    (None, ""),
+    ("just text", "just text"),
+    ("Produced by x\nrest", "rest"),  # a header that runs into text
+    ("Produced by x\n\nE-text prepared by y\nrest", "E-text prepared by y\nrest"),  # a header line after a blank line and a header
+    ("\nProduced by x", "Produced by x"),
+    ("one\ntwo\nabout Gutenberg-tm", "one\ntwo"),
+    ("one\nabout Gutenberg-tm", "one"),
+    ("one\ntwo\nTHE END\nthree\nGUTENBERG LICENSE\nfour", "one\ntwo\nTHE END\nthree"),
+    ("one\nTHE END\nfour", "one"),
+    ("PROJECT GUTENBERG\n\nGutenberg License", ""),
+    ("one\r\n\r\n\r\n\r\ntwo\n-----\n----", "one\r\n\r\n\r\n\r\ntwo\n----"),
+]
+
+
+def test_books(spark):
+    got = {r.doc_id: r for r in corpus.clean_books(docs(spark, [t for t, _ in BOOKS])).collect()}
+    for i, (text, body) in enumerate(BOOKS):
+        assert (got[i].body, got[i].chars_before, got[i].chars_after) == (body, len(text or ""), len(body)), text
+
+
+def test_pieces_equal_the_pattern(spark):
+    texts = ["café über", "don't  stop,\n\n 12 now\n", "a\x1c\x1cb", "x\u3000 y \x85z", " 's 't'll 123abc _x_ \t", "", None, "😀 é!?", "   "]
+    got = {r.doc_id: r.p for r in docs(spark, texts).select("doc_id", pieces_of(F.col("text")).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == re.findall(PIECE_PATTERN, t or "") and "".join(got[i]) == (t or "")
+    assert got[0] == ["caf", "é", " ", "ü", "ber"] or got[0] == ["caf", "é", " ü", "ber"]
 
 
 def test_length_ranks_equal_sorted_lists(spark):

@@ -25,3 +25,14 @@ def is_blank(text: Column | str) -> Column:
 def ws_norm(text: Column | str) -> Column:
     """Lower case, runs of white space as one blank, no white space at the ends."""
     return F.trim(F.regexp_replace(F.lower(text), RUN_SPACE, " "))
+
+
+# Fixed value: the split into word pieces (contractions, letters, digits, other marks, white space); every character is in exactly
+# one piece. White space is what Python takes for it.
+PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+_JVM_PIECES = PIECE_PATTERN.replace(r"[^\s", f"[^{PY_SPACE}").replace(r"\S", f"[^{PY_SPACE}]").replace(r"\s", f"[{PY_SPACE}]")
+
+
+def pieces_of(text: Column) -> Column:
+    """The word pieces of a text in order; none for null and empty texts."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_JVM_PIECES), F.lit(0))

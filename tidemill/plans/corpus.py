@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PY_SPACE, is_blank, py_strip, ws_norm
+from ..functions.text import PY_SPACE, is_blank, pieces_of, py_strip, ws_norm
 from ..operators import corpus, offsets
 from ..sources.tables import spread, table
 from .catalog import Catalog
@@ -119,12 +119,29 @@ def k09_quarantine_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(F.concat_ws("\t", "status", F.col("doc_id").cast("string")).alias("line"))
 
 
-@query()
+_Q = lambda xs: "|".join(xs).replace("'", "''")
+_BOOKS = f"""l AS (SELECT doc_id, i, ls[i] AS line, regexp_replace(ls[i], '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g') AS bare, len(ls) AS n FROM
+(SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+k AS (SELECT *, bare = '' AS blank, regexp_matches(bare, '{_Q(x.replace(".", "[.]") for x in corpus.BOILERPLATE)}', 'i') AS noise, regexp_matches(bare, '{_Q(corpus.HEADERS)}', 'i') AS head,
+regexp_matches(bare, '{_Q(corpus.FOOTERS)}', 'i') AS tail FROM l),
+k2 AS (SELECT *, lag(blank) OVER w AS after_blank, bool_or(head) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had_head FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, coalesce(min(CASE WHEN NOT blank AND NOT noise AND (NOT head OR (after_blank AND had_head)) THEN i END), 1) AS begin FROM k2 GROUP BY doc_id),
+z AS (SELECT k.doc_id, max(begin) AS begin, max(CASE WHEN i > begin AND (tail OR noise) THEN i END) AS last FROM k JOIN b ON k.doc_id = b.doc_id GROUP BY k.doc_id),
+e AS (SELECT k.doc_id, max(z.begin) AS begin, max(n) AS n, max(z.last) AS last, bool_or(tail AND i = z.last) AS at_tail, max(CASE WHEN i > z.begin AND i < z.last AND NOT blank AND NOT noise THEN i END) AS above
+FROM k JOIN z ON k.doc_id = z.doc_id GROUP BY k.doc_id),
+kept AS (SELECT k.doc_id, string_agg(line, chr(10) ORDER BY i) AS body FROM k JOIN e ON k.doc_id = e.doc_id
+WHERE i >= begin AND i <= CASE WHEN last IS NULL THEN e.n WHEN at_tail THEN last - 1 ELSE coalesce(above, e.n) END AND NOT noise AND NOT regexp_matches(bare, '{corpus.DECORATION}') GROUP BY k.doc_id),
+books AS (SELECT d.doc_id, regexp_replace(regexp_replace(coalesce(body, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g') AS body, length(coalesce(d.text, '')) AS chars_before
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id)"""
+
+
+@query(f"WITH {_BOOKS} SELECT doc_id, body, chars_before, length(body) AS chars_after FROM books")
 def p07_clean_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.clean_books(_docs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_BOOKS} SELECT CAST(sum(chars_before) AS BIGINT) AS chars_before, CAST(sum(length(body)) AS BIGINT) AS chars_after,
+round(100 * (1 - sum(length(body)) / nullif(sum(chars_before), 0)), 6) AS removed_pct FROM books""")
 def a26_cleaning_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = corpus.clean_books(_docs(spark, sf_dir)).agg(F.sum("chars_before").alias("chars_before"), F.sum("chars_after").alias("chars_after"))
     return totals.withColumn("removed_pct", F.round(100 * (1 - F.col("chars_after") / F.nullif("chars_before", F.lit(0))), 6))
@@ -151,10 +168,11 @@ def p09_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.where(F.length(py_strip("p")) > 100).groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"))
 
 
-_CASE = " ".join(f"WHEN regexp_matches(lower(fact), '{'|'.join(words)}') THEN '{name}'" for words, name in corpus.QUESTION_RULES)
+_CASE = " ".join(f"WHEN regexp_matches(lower(fact), '{'|'.join(words)}') THEN '{category}'" for words, _, category in corpus.QUESTION_RULES)
+_ASK = " ".join("WHEN regexp_matches(lower(fact), '{}') THEN '{}'".format("|".join(words), question.replace("'", "''")) for words, question, _ in corpus.QUESTION_RULES)
 _FACTS = f"""{_SECTIONS}, cut AS (SELECT doc_id, section_no, unnest(string_split_regex(section, '[.!?]+')) AS s FROM sections WHERE length(section) > 200),
 sents AS (SELECT doc_id, section_no, regexp_replace(s, '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g') AS fact FROM cut),
-facts AS (SELECT doc_id, fact, CASE {_CASE} ELSE 'general' END AS category FROM sents WHERE length(fact) BETWEEN 30 AND 300 AND regexp_matches(lower(fact), '{'|'.join(corpus.FACT_WORDS)}'))"""
+facts AS (SELECT doc_id, fact, CASE {_CASE} ELSE 'general' END AS category, CASE {_ASK} ELSE '{corpus.GENERAL_QUESTION}' END AS question FROM sents WHERE length(fact) BETWEEN 30 AND 300 AND regexp_matches(lower(fact), '{'|'.join(corpus.FACT_WORDS)}'))"""
 
 
 @query(f"WITH {_FACTS} SELECT doc_id, fact FROM facts")
@@ -167,16 +185,18 @@ def p11_question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.facts(_docs(spark, sf_dir)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_FACTS} SELECT category AS instruction, '' AS input, fact AS output, 'extracted' AS origin FROM facts
-UNION ALL SELECT subject, '', about, 'curated' FROM subjects""")
+@query(f"""WITH {_FACTS} SELECT question AS instruction, fact AS response, category, 'corpus_extraction' AS source FROM facts""")
 def k10_question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted pairs and curated ones in one bag (U02), projected to the three-field form."""
-    found = corpus.facts(_docs(spark, sf_dir)).select(F.col("category").alias("instruction"), F.lit("").alias("input"), F.col("fact").alias("output"), F.lit("extracted").alias("origin"))
-    curated = table(spark, sf_dir, "subjects").select(F.col("subject").alias("instruction"), F.lit("").alias("input"), F.col("about").alias("output"), F.lit("curated").alias("origin"))
-    return found.unionByName(curated)
+    """Question-answer pairs extracted from the texts, one JSON-able row each."""
+    found = corpus.facts(_docs(spark, sf_dir))
+    return found.select(F.col("question").alias("instruction"), F.col("fact").alias("response"), "category", F.lit("corpus_extraction").alias("source"))
 
 
-QUERIES["u02_union_all"], SQL["u02_union_all"] = QUERIES["k10_question_answers"], SQL["k10_question_answers"]
+@query(f"""WITH {_FACTS} SELECT question AS instruction, '' AS input, fact AS output FROM facts UNION ALL SELECT subject, '', about FROM subjects""")
+def u02_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted and curated pairs in one bag, in the three-field form."""
+    found = k10_question_answers(spark, sf_dir).select("instruction", F.lit("").alias("input"), F.col("response").alias("output"))
+    return found.unionByName(table(spark, sf_dir, "subjects").select(F.col("subject").alias("instruction"), F.lit("").alias("input"), F.col("about").alias("output")))
 
 
 @query("""SELECT source, count(*) AS docs, max(CASE WHEN rn = n // 10 THEN len END) AS p10, max(CASE WHEN rn = n // 2 THEN len END) AS p50,
@@ -202,16 +222,28 @@ def a07_window_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("source", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("source").agg(F.sum("c").alias("windows"), F.count(F.lit(1)).alias("distinct_windows"))
 
 
-@query()
+# The twin's engine has no look-ahead: a mark before the last white space of a run that something else follows takes its place.
+_MARK = "chr(1114109)"
+_SPACED = f"regexp_replace(coalesce(text, ''), '([{PY_SPACE}])([^{PY_SPACE}])', {_MARK} || '\\1\\2', 'g')"
+_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|@? ?[A-Za-z]+|@? ?[0-9]+|@? ?[^{PY_SPACE}@A-Za-z0-9]+|@[{PY_SPACE}]|[{PY_SPACE}]+"
+_MARKED = "'" + _SPLIT.replace("'", "''") + "'"
+_PIECES = f"list_transform(regexp_extract_all({_SPACED}, replace({_MARKED}, '@', {_MARK})), lambda p: replace(p, {_MARK}, ''))"
+
+
+@query(f"SELECT piece, count(*) AS n FROM (SELECT unnest({_PIECES}) AS piece FROM documents) GROUP BY piece")
 def a10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word pieces and their counts; the pattern looks ahead, which the twin's engine cannot."""
     return corpus.piece_counts(_docs(spark, sf_dir))
 
 
-QUERIES["t02_pieces"] = QUERIES["a10_piece_counts"]
+@query(f"SELECT doc_id, {_PIECES} AS pieces FROM documents")
+def t02_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word pieces of every text, in order; joined, they are the text."""
+    return _docs(spark, sf_dir).select("doc_id", pieces_of(F.col("text")).alias("pieces"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT piece, count(*) AS n FROM (SELECT unnest({_PIECES}) AS piece FROM documents) GROUP BY piece),
+b AS (SELECT regexp_extract_all(hex(encode(piece)), '..') AS hs, n FROM p)
+SELECT hs[i] || hs[i + 1] AS pair, CAST(sum(n) AS BIGINT) AS n FROM (SELECT hs, n, unnest(range(1, len(hs))) AS i FROM b) GROUP BY 1""")
 def a11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pair_counts(corpus.piece_counts(_docs(spark, sf_dir)))
 

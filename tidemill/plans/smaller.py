@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PY_SPACE, py_strip
+from ..functions.text import PY_SPACE, pieces_of, py_strip
 from ..operators import corpus
 from ..sources.tables import table
 from .catalog import Catalog
@@ -125,7 +125,7 @@ def a06_piece_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a23_bytes_per_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("t"))
-    n = F.size(F.regexp_extract_all("t", F.lit(corpus.PIECES), F.lit(0))).cast("bigint")
+    n = F.size(pieces_of(F.col("t"))).cast("bigint")
     return d.groupBy("source").agg(F.sum(F.octet_length("t").cast("bigint")).alias("bytes"), F.sum(n).alias("pieces")).withColumn("bytes_per_piece", F.round(F.col("bytes") / F.nullif("pieces", F.lit(0)), 6))
 
 
@@ -136,7 +136,7 @@ QUERIES["t23_chars_per_token"] = QUERIES["a06_piece_entropy"]
 def t22_split_selftest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of two halves cut after a newline against the pieces of the whole: how many texts agree."""
     d = table(spark, sf_dir, "documents").where(F.instr("text", "\n") > 0).select("doc_id", "text", F.instr("text", "\n").alias("at"))
-    n = lambda c: F.size(F.regexp_extract_all(c, F.lit(corpus.PIECES), F.lit(0)))
+    n = lambda c: F.size(pieces_of(c))
     both = n(F.substr("text", F.lit(1), F.col("at"))) + n(F.substr("text", F.col("at") + 1))
     return d.agg(F.count(F.lit(1)).alias("texts"), F.count_if(both == n(F.col("text"))).alias("agree"))
 
