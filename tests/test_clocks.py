@@ -1,6 +1,8 @@
+import random
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import clocks as c
 
@@ -73,16 +75,48 @@ def test_estimate_finds_an_unlisted_zone(spark):
     frame = spark.createDataFrame(values, "source_table string, row_key string, text string, host string, loaded_at timestamp").selectExpr("*", "'x' AS zone")
     hosts = spark.createDataFrame([("h1", None), ("h2", "Europe/Berlin")], "host string, tz_name string")
     zones = {r.host: r for r in c.host_zones(frame, hosts).collect()}
-    assert zones["h1"].zone == "Asia/Tokyo" and zones["h1"].violations == 0 and zones["h2"].zone == "Europe/Berlin"
+    assert z.utc(zones["h1"].zone, us(2026, 5, 1, 0, 0, 0)) == us(2026, 4, 30, 15, 0, 0) and zones["h1"].violations == 0 and zones["h2"].zone == "Europe/Berlin"
     got = c.normalise(frame, hosts)
     assert got.columns == ["source_table", "row_key", "utc_us"] and got.count() == 62
     assert c.normalise(frame.limit(0), hosts).count() == 0
     assert c.normalise(frame, hosts.limit(0)).count() == 62
 
 
-def test_listed_zone_wins_over_a_different_estimate(spark):
+def test_the_estimate_decides_with_or_without_the_list(spark):
+    """Zones all over the database, two years of rows, some of them late."""
+    z, r = c.Zones(), random.Random(2)
+    zones = {"a": "Asia/Kathmandu", "b": "America/Sao_Paulo", "c": "Pacific/Chatham", "d": "Africa/Cairo", "e": "America/St_Johns", "f": "Europe/Lisbon", "g": "Australia/Lord_Howe"}
+    values, want = [], set()
+    for host, zone in zones.items():
+        for i in range(250):
+            local = us(2025, 1, 1, 0, 0, 0) + r.randrange(700 * 86400) * 1_000_000
+            at = z.utc(zone, local)
+            if at is None:
+                continue
+            late = r.randrange(3_000_000_000) if r.random() < 0.92 else r.randrange(10**11, 10**12)
+            text = str(datetime.fromtimestamp(local / 1e6, UTC).replace(tzinfo=None))
+            values.append(("t", f"{host}{i}", text, host, datetime.fromtimestamp((at + late) // 1_000_000, UTC)))
+            want.add((f"{host}{i}", at))
+    frame = spark.createDataFrame(values, "source_table string, row_key string, text string, host string, loaded_at timestamp")
+    listed = spark.createDataFrame(list(zones.items()), "host string, tz_name string")
+    for hosts in (listed, listed.limit(0), listed.withColumn("tz_name", F.lit("Asia/Tokyo"))):
+        assert {(x.row_key, x.utc_us) for x in c.normalise(frame, hosts).collect()} == want
+    assert {x.host for x in c.host_zones(frame, listed.withColumn("tz_name", F.lit("Asia/Tokyo"))).where("disagrees").collect()} == set(zones)
+    assert c.host_zones(frame, listed).where("disagrees").count() == 0
+
+
+def test_listed_zone_wins_what_chance_explains(spark):
     values = [("t", str(i), f"2026-05-1{i} 10:00:00", "h", datetime(2026, 5, 10 + i, 10, 5, tzinfo=UTC)) for i in range(9)]
     frame = spark.createDataFrame(values, "source_table string, row_key string, text string, host string, loaded_at timestamp")
-    hosts = spark.createDataFrame([("h", IST)], "host string, tz_name string")
-    assert c.host_zones(frame, hosts).first().estimated_zone == "UTC"
-    assert min(r.utc_us for r in c.normalise(frame, hosts).collect()) == us(2026, 5, 10, 4, 30, 0)
+    zone_of = lambda f, zone: c.host_zones(f, spark.createDataFrame([("h", zone)], "host string, tz_name string")).first()
+    wrong = zone_of(frame, IST)
+    assert wrong.disagrees and wrong.listed_violations == 9 and wrong.violations == 0 and c.Zones().utc(wrong.zone, us(2026, 5, 10, 10, 0, 0)) == us(2026, 5, 10, 10, 0, 0)
+    assert zone_of(frame, "Africa/Abidjan").zone == "Africa/Abidjan"  # ties with all zones of its history
+    assert zone_of(frame.limit(1), IST).zone == IST  # one row proves nothing
+    assert zone_of(frame, "Mars/Olympus").zone != "Mars/Olympus"
+
+
+def test_offset_history():
+    h = c.offset_history(c.ZoneInfo(LA), us(2025, 1, 1, 0, 0, 0), us(2026, 1, 1, 0, 0, 0))
+    hour = 3_600_000_000
+    assert h == ((us(2025, 1, 1, 0, 0, 0), us(2025, 3, 9, 10, 0, 0), -8 * hour), (us(2025, 3, 9, 10, 0, 0), us(2025, 11, 2, 9, 0, 0), -7 * hour), (us(2025, 11, 2, 9, 0, 0), us(2026, 1, 1, 0, 0, 0), -8 * hour))
