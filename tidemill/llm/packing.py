@@ -6,10 +6,12 @@ item ``i`` of a source is served in the first round in which all quanta so far,
 first ``i`` items: rounds are computed directly, and the order of service is the sort by round. Along this order every source has
 its target share of all tokens served so far, up to one item.
 
-Windows are filled along this order. A window takes the oldest item first and then, of the items that follow, as few of the next
-ones as needed for a set that fills the window exactly: the sums that sets of the next items can reach are one bit mask, shifted
-and merged per item until it has the exact sum. Items that are passed over are the oldest of the next window, so a window departs
-from the order of service by the few items looked at only. If no set of the next ``LOOK`` items is exact, the fullest set is taken.
+Windows are filled along this order for as long as the next item fits. The room that is then left is closed exactly by a set of
+the items that follow, as few of the next ones as needed: the sums that sets of the next items can reach are one bit mask, shifted
+and merged per item until it has the exact sum. If the next ``NEAR`` items have no such set, the window gives its last item back
+and the larger room is tried; a window down to its oldest item looks ``LOOK`` items ahead, and if nothing is exact, the fullest set
+of all that was tried is taken. Items that are passed over are the oldest of the next window, so a window departs from the order of
+service by its last items only.
 
 Deficits are carried from window to window and from partition to partition by that order itself: how many tokens of its source come
 before a text is a prefix sum over the whole input, in two levels (buckets of a source by hash of the id, then inside a bucket), so
@@ -29,6 +31,7 @@ every positive capacity of the table gets its windows, however many there are.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,7 @@ TOKENS = 8_000_000
 ITEMS = 100_000
 BUCKET = 4096
 LOOK = 1024
+NEAR = 128
 PREFIXES = 16
 _OUT = "window_id int, capacity int, window_no bigint, position int, doc_id bigint, source string, piece int, piece_start bigint, piece_tokens bigint"
 
@@ -53,12 +57,13 @@ def service_order(capacity: int, sources: np.ndarray, upto: np.ndarray, shares:
     return np.lexsort((upto, turn, rounds))
 
 
-def _fullest(room: int, sizes: Sequence[int], follow: Iterator[int], look: int) -> list[int]:
-    """Of the items that follow, a set that fills the room exactly (with as few items looked at as possible), else the fullest."""
+def _fullest(room: int, sizes: Sequence[int], follow: Iterator[int], look: int) -> tuple[list[int], int]:
+    """Of the next ``look`` items, a set that fills the room exactly (with as few items looked at as possible), else the fullest;
+    and the room that it leaves."""
     mask = (2 << room) - 1
     seen: list[int] = []
     reach = [1]
-    for item in follow:
+    for item in islice(follow, look):
         size = sizes[item]
         if size > room:
             continue
@@ -67,17 +72,18 @@ def _fullest(room: int, sizes: Sequence[int], follow: Iterator[int], look: int)
             continue  # adds no sum that the items before cannot reach
         seen.append(item)
         reach.append(sums)
-        if sums >> room or len(seen) >= look:
+        if sums >> room:
             break
-    left, chosen = reach[-1].bit_length() - 1, []
+    full = left = reach[-1].bit_length() - 1
+    chosen = []
     for k in range(len(seen), 0, -1):
         if not reach[k - 1] >> left & 1:
             chosen.append(seen[k - 1])
             left -= sizes[seen[k - 1]]
-    return chosen[::-1]
+    return chosen[::-1], room - full
 
 
-def pack(capacity: int, sizes: Sequence[int], look: int = LOOK) -> list[list[int]]:
+def pack(capacity: int, sizes: Sequence[int], look: int = LOOK, near: int = NEAR) -> list[list[int]]:
     """Windows as lists of item numbers; the items, of 1 to ``capacity`` tokens, come in their order of service."""
     n = len(sizes)
     after = list(range(1, n + 1))
@@ -92,11 +98,21 @@ def pack(capacity: int, sizes: Sequence[int], look: int = LOOK) -> list[list[int
             at = after[at]
 
     while head < n:
-        first = head
-        window = [first]
-        room = capacity - sizes[first]
-        if room:
-            window += _fullest(room, sizes, follow(first), look)
+        row, room = [head], capacity - sizes[head]
+        for item in follow(head):
+            if sizes[item] > room:
+                break
+            row.append(item)
+            room -= sizes[item]
+        window, least = row, room
+        while least:
+            more, left = _fullest(room, sizes, follow(row[-1]), near if len(row) > 1 else look)
+            if left < least:
+                window, least = row + more, left
+            if len(row) == 1:
+                break
+            room += sizes[row[-1]]
+            row = row[:-1]
         for item in window:
             b, a = before[item], after[item]
             if b >= 0:
