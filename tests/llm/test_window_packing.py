@@ -97,7 +97,8 @@ def test_given_targets_hold_until_a_source_runs_out(spark):
     assert len(got) == 4002
     first = [r for r in got if r.window_no < 100]
     assert abs(sum(r.piece_tokens for r in first if r.source == "b") / sum(r.piece_tokens for r in first) - 0.5) < 0.01
-    assert max(r.window_no for r in got) in {r.window_no for r in got if r.source == "c"}
+    late = sorted({r.window_no for r in got})[-3:]  # what has no target is served last
+    assert {r.window_no for r in got if r.source == "c"} <= set(late)
 
 
 def frame(spark, rows):

@@ -30,6 +30,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_RANKS = 300_000
 SHORT = 128
 CACHED_WORDS = 300_000
+IDS_AT_ONCE = 1 << 26
 # Fixed value: the vocabulary's word pattern, with white space spelled as the Unicode property.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NONE = 1 << 62
@@ -128,12 +129,15 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", fol
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                lists = [np.array(encode(t), np.int32) for t in part.column(1).to_pylist()]
-                offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
+            first, lists, held = 0, [], 0
+            for at, text_at in enumerate(batch.column(1)):
+                lists.append(np.array(encode(text_at.as_py()), np.int32))
+                held += len(lists[-1])
+                if at + 1 == batch.num_rows or len(lists) == 1024 or held > IDS_AT_ONCE:  # list offsets are of 32 bits
+                    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lists)), ids], names=["key", "ids"])
+                    first, lists, held = at + 1, [], 0
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
