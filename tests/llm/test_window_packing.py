@@ -45,7 +45,7 @@ def in_service(capacity, queues, shares):
     while any(at[s] < len(q) for s, q in enumerate(queues)):
         k += 1
         for s in sorted(range(len(queues)), key=lambda s: (s + k) % len(queues)):
-            deficit[s] += shares[s] * capacity
+            deficit[s] += shares[s] * capacity / p.A_WINDOW
             while at[s] < len(queues[s]) and queues[s][at[s]] <= deficit[s] + 1e-9:
                 deficit[s] -= queues[s][at[s]]
                 order.append((s, at[s]))

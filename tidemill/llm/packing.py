@@ -1,6 +1,6 @@
 """Mixture-controlled packing of whole texts into windows of fixed capacity.
 
-Deficit round-robin. Every source is a queue of items and has a quantum, its target share of the capacity. In every round each
+Deficit round-robin. Every source is a queue of items and has a quantum, its target share of a part of the capacity. In every round each
 source's deficit grows by its quantum, and the source serves items while its deficit covers them; what is left is carried on. So
 item ``i`` of a source is served in the first round in which all quanta so far, and what the source was owed before, cover the
 first ``i`` items: rounds are computed directly, and the order of service is the sort by round. Along this order every source has
@@ -44,6 +44,8 @@ TOKENS = 8_000_000
 ITEMS = 100_000
 BUCKET = 4096
 LOOK = 1024
+#: Rounds that together serve as many tokens as a window holds: short rounds mix the sources inside a window.
+A_WINDOW = 16
 NEAR = 128
 PREFIXES = 16
 _OUT = "window_id int, capacity int, window_no bigint, position int, doc_id bigint, source string, piece int, piece_start bigint, piece_tokens bigint"
@@ -52,7 +54,7 @@ _OUT = "window_id int, capacity int, window_no bigint, position int, doc_id bigi
 def service_order(capacity: int, sources: np.ndarray, upto: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Positions of items in the order in which deficit round-robin serves them; ``upto`` are the tokens of the item's source up to
     its end, ``shares`` the target share of each item's source, ``sources`` numbers of the sources."""
-    rounds = np.maximum(np.ceil(upto / (shares * capacity) - 1e-9), 1.0)
+    rounds = np.maximum(np.ceil(upto / (shares * capacity / A_WINDOW) - 1e-9), 1.0)
     turn = (sources + rounds.astype(np.int64)) % (int(sources.max(initial=0)) + 1)  # each round begins with another source
     return np.lexsort((upto, turn, rounds))
 
