@@ -1,9 +1,9 @@
 """One consistent table from files whose fields come, go, change name or type, and the list of those changes.
 
 Rows are loaded as path-value maps that keep each value's raw type (Spark's variant). A first aggregate by file and path gives
-how often a path occurs, with which types, and what its values are like; everything after it works on this small table, so a
-producer that wrote a third of all rows is no more than its number of files and fields. Each file is compared with the one
-before it. A field that leaves and one that comes in the same file are the same quantity if
+how often a path occurs, with which types, and what its values are like (in fixed-width buffers, so it hashes and never sorts); the
+statistics of a file then become one row, and everything after it works on these rows, so a producer that wrote a third of all rows
+is no more than its number of files. Each file is compared with the one before it, inside one row. A field that leaves and one that comes in the same file are the same quantity if
 
 * their values carry on (numbers: the levels differ by no more than half, or by their scatter; settings: the same value, also
   when it is written as text, wrapped in an object's ``value`` or in a list), and
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sizes import measured
 
 MAX_TOGETHER = 0.02
@@ -43,9 +44,11 @@ def _kind(raw: Column) -> Column:
     )
 
 
-def _unwrapped(value: str) -> Column:
+def _unwrapped(value: str, kind: Column) -> Column:
     """The scalar's text: of itself, of an object's ``value``, or of a list's first element."""
-    return F.coalesce(*[F.expr(f"try_variant_get({value}, '{p}', 'string')") for p in ("$.value", "$[0]", "$")])
+    own = F.expr(f"try_variant_get({value}, '$', 'string')")
+    first = F.when(kind == "object", F.expr(f"try_variant_get({value}, '$.value', 'string')")).when(kind == "array", F.expr(f"try_variant_get({value}, '$[0]', 'string')"))
+    return F.coalesce(first, own)
 
 
 def path_values(records: DataFrame) -> DataFrame:
@@ -54,9 +57,8 @@ def path_values(records: DataFrame) -> DataFrame:
     header = F.expr("try_variant_get(v, '$.args', 'variant')")
     parsed = parsed.withColumn("is_header", header.isNotNull()).withColumn("fields", F.expr("try_variant_get(CASE WHEN is_header THEN variant_get(v, '$.args', 'variant') ELSE v END, '$', 'map<string,variant>')"))
     flat = parsed.select(*_FILE, "line_no", "is_header", F.explode("fields").alias("key", "value"))
-    flat = flat.select(
-        *_FILE, "line_no", F.when(F.col("is_header"), F.concat(F.lit("args."), F.col("key"))).otherwise(F.col("key")).alias("path"), _kind(F.expr("schema_of_variant(value)")).alias("kind"), _unwrapped("value").alias("text")
-    )
+    flat = flat.withColumn("kind", _kind(F.expr("schema_of_variant(value)")))
+    flat = flat.select(*_FILE, "line_no", F.when(F.col("is_header"), F.concat(F.lit("args."), F.col("key"))).otherwise(F.col("key")).alias("path"), "kind", _unwrapped("value", F.col("kind")).alias("text"))
     truth = F.when(F.lower("text") == "true", 1.0).when(F.lower("text") == "false", 0.0)
     return flat.withColumn("num", F.coalesce(F.expr("try_cast(text AS double)"), truth))
 
@@ -73,14 +75,15 @@ def path_statistics(values: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_pop("num"), F.lit(0.0)).alias("scatter"),
         F.min("num").alias("low"),
         F.max("num").alias("high"),
-        F.min(F.when(F.col("num").isNull(), F.col("text"))).alias("low_text"),
-        F.max(F.when(F.col("num").isNull(), F.col("text"))).alias("high_text"),
+        *[how(F.when(F.col("num").isNull() & F.col("text").isNotNull(), F.xxhash64("text", F.lit(seed)))).alias(f"{name}_text{seed}") for seed in (0, 1) for how, name in ((F.min, "low"), (F.max, "high"))],
     )
 
 
 def _carries_on(a: Column, b: Column) -> Column:
     setting = a["path"].startswith("args.")
-    same = a["low"].eqNullSafe(b["low"]) & a["high"].eqNullSafe(b["high"]) & a["low_text"].eqNullSafe(b["low_text"]) & a["high_text"].eqNullSafe(b["high_text"])
+    same = a["low"].eqNullSafe(b["low"])
+    for c in ("high", "low_text0", "high_text0", "low_text1", "high_text1"):  # images of texts under two seeds: 128 bits
+        same = same & a[c].eqNullSafe(b[c])
     level = (a["n_num"] > 0) & (b["n_num"] > 0) & (F.abs(a["mean"] - b["mean"]) <= F.greatest(0.5 * F.greatest(F.abs(a["mean"]), F.abs(b["mean"])), 4 * (a["scatter"] + b["scatter"])))
     near = level & (F.abs(a["mean"] - b["mean"]) <= 0.9 * F.greatest(F.abs(a["mean"]), F.abs(b["mean"])))
     return (setting == b["path"].startswith("args.")) & (a["filled"] > 0) & (b["filled"] > 0) & F.when(setting, same).otherwise(near)
@@ -100,36 +103,49 @@ def _distance(a: Column, b: Column) -> Column:
     return F.coalesce(level, F.lit(0.0)) + nulls + name
 
 
-def _neighbours(records: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per later file and path: the path's statistics in the file before (``old``) and in it (``new``)."""
-    files = records.select(*_FILE).distinct().withColumn("next_seq", F.lead("file_seq").over(Window.partitionBy("producer").orderBy("file_seq")))
-    later = files.where("next_seq IS NOT NULL").select(F.col("producer").alias("f_producer"), F.col("file_seq").alias("f_seq"), "next_seq")
+def file_fields(records: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row per file: its fields with their statistics (none for a file without objects), and those of the file before it (null
+    for a producer's first)."""
     body = F.struct(*[c for c in stats.columns if c not in _FILE])
-    at = F.col("producer").eqNullSafe(F.col("f_producer"))
-    old = stats.join(later, at & (F.col("file_seq") == F.col("f_seq"))).select("producer", F.col("next_seq").alias("file_seq"), "path", body.alias("old"), F.lit(None).cast(stats.select(body.alias("b")).schema["b"].dataType).alias("new"))
-    new = stats.join(later, at & (F.col("file_seq") == F.col("next_seq"))).select("producer", "file_seq", "path", F.lit(None).cast(stats.select(body.alias("b")).schema["b"].dataType).alias("old"), body.alias("new"))
-    return old.unionByName(new).groupBy(*_FILE, "path").agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
+    mine = stats.select(*_FILE, body.alias("field"))
+    # A file of which no record is an object has no statistics; it is counted in by a row without field, dropped again below.
+    every = mine.unionByName(records.select(*_FILE, F.lit(None).cast(mine.schema["field"].dataType).alias("field")).distinct())
+    files = every.groupBy(*_FILE).agg(F.collect_list("field").alias("fields"))
+    return files.withColumn("before", F.lag("fields").over(Window.partitionBy("producer").orderBy("file_seq")))
+
+
+def compared(files: DataFrame) -> DataFrame:
+    """One row per later file: fields gone, fields come, and fields in both files whose types differ (their paths)."""
+    paths = lambda c: F.transform(c, lambda f: f["path"])
+    both = files.where("before IS NOT NULL").withColumn("old_paths", paths("before")).withColumn("new_paths", paths("fields"))
+    kinds = F.map_from_arrays("old_paths", F.transform("before", lambda f: f["kinds"]))
+    return both.select(
+        *_FILE,
+        F.filter("before", lambda f: ~F.array_contains(F.col("new_paths"), f["path"])).alias("gone"),
+        F.filter("fields", lambda f: ~F.array_contains(F.col("old_paths"), f["path"])).alias("come"),
+        paths(F.filter("fields", lambda f: F.coalesce(_differs(F.try_element_at(kinds, f["path"]), f["kinds"]), F.lit(False)))).alias("retyped"),
+    )
 
 
-def renames(neighbours: DataFrame, stats: DataFrame, max_together: float = MAX_TOGETHER) -> DataFrame:
+def renames(sides: DataFrame, files: DataFrame, max_together: float = MAX_TOGETHER) -> DataFrame:
     """producer, file_seq, field_from, field_to, kinds_from, kinds_to."""
-    sides = neighbours.groupBy(*_FILE).agg(
-        F.collect_list(F.when(F.col("new").isNull(), F.col("old"))).alias("gone"), F.collect_list(F.when(F.col("old").isNull(), F.col("new"))).alias("come")
-    )
     pairs = sides.select(*_FILE, F.explode("gone").alias("a"), "come").select(*_FILE, "a", F.explode(F.filter("come", lambda b: _carries_on(F.col("a"), b))).alias("b"))
-    pairs = pairs.select(*_FILE, F.col("a.path").alias("field_from"), F.col("b.path").alias("field_to"), F.col("a.kinds").alias("kinds_from"), F.col("b.kinds").alias("kinds_to"), _distance(F.col("a"), F.col("b")).alias("distance"))
+    pairs = cut(pairs.select(*_FILE, F.col("a.path").alias("field_from"), F.col("b.path").alias("field_to"), F.col("a.kinds").alias("kinds_from"), F.col("b.kinds").alias("kinds_to"), _distance(F.col("a"), F.col("b")).alias("distance")))
     names = measured(pairs.groupBy("field_from", "field_to").agg(F.count(F.lit(1)).alias("support")))
-    files = stats.groupBy(*_FILE).agg(F.collect_set("path").alias("paths"))
-    each = files.select("paths", F.explode("paths").alias("path"))
-    met = each.join(names, F.col("path") == F.col("field_from")).groupBy("field_from", "field_to").agg(F.count(F.lit(1)).alias("n_from"), F.count_if(F.array_contains(F.col("paths"), F.col("field_to"))).alias("together"))
-    spread = stats.groupBy(F.col("path").alias("to_path")).agg(F.count(F.lit(1)).alias("n_to"))
-    judged = names.join(met, ["field_from", "field_to"]).join(spread, F.col("field_to") == F.col("to_path"))
-    judged = judged.where(F.col("together") <= max_together * F.least("n_from", "n_to")).select("field_from", "field_to", "support")
+    each = files.select(F.transform("fields", lambda f: f["path"]).alias("paths")).select("paths", F.explode("paths").alias("path"))
+    met = each.join(names, F.col("path") == F.col("field_from")).where(F.array_contains(F.col("paths"), F.col("field_to"))).groupBy("field_from", "field_to").agg(F.count(F.lit(1)).alias("together"))
+    spread = each.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    ends = names.select("*", F.explode(F.array("field_from", "field_to")).alias("path"))
+    least = ends.join(spread, "path").groupBy("field_from", "field_to", "support").agg(F.min("n").alias("least"))
+    judged = least.join(met, ["field_from", "field_to"], "left").where(F.coalesce("together", F.lit(0)) <= max_together * F.col("least")).select("field_from", "field_to", "support")
     scored = pairs.join(measured(judged), ["field_from", "field_to"]).withColumn("score", F.col("distance") - 0.3 * F.log("support"))
-    by_from = Window.partitionBy(*_FILE, "field_from").orderBy("score", "field_to")
-    by_to = Window.partitionBy(*_FILE, "field_to").orderBy("score", "field_from")
-    best = scored.withColumn("r_from", F.row_number().over(by_from)).withColumn("r_to", F.row_number().over(by_to)).where("r_from = 1 AND r_to = 1")
-    return best.select(*_FILE, "field_from", "field_to", "kinds_from", "kinds_to")
+    held = scored.groupBy(*_FILE).agg(F.collect_list(F.struct("score", "field_from", "field_to", "kinds_from", "kinds_to")).alias("ps"))
+
+    def better(p: Column, side: str, other: str) -> Column:
+        return F.exists("ps", lambda q: (q[side] == p[side]) & (F.struct(q["score"], q[other]) < F.struct(p["score"], p[other])))
+
+    best = F.filter("ps", lambda p: ~better(p, "field_from", "field_to") & ~better(p, "field_to", "field_from"))
+    return held.select(*_FILE, F.explode(best).alias("p")).select(*_FILE, "p.field_from", "p.field_to", "p.kinds_from", "p.kinds_to")
 
 
 def _differs(a: Column, b: Column) -> Column:
@@ -138,38 +154,28 @@ def _differs(a: Column, b: Column) -> Column:
 
 def changes(records: DataFrame) -> DataFrame:
     """producer, file_seq, change_kind, field_from, field_to."""
-    stats = measured_statistics(records)
-    neighbours = _neighbours(records, stats)
-    named = renames(neighbours, stats)
-    out = named.select(*_FILE, F.lit("renamed").alias("change_kind"), "field_from", "field_to")
-    retyped = named.where(_differs(F.col("kinds_from"), F.col("kinds_to"))).select(*_FILE, F.lit("type").alias("change_kind"), F.col("field_to").alias("field_from"), "field_to")
-    used = named.select(F.col("producer").alias("u_producer"), F.col("file_seq").alias("u_seq"), F.explode(F.array("field_from", "field_to")).alias("u_path"))
-    one_sided = neighbours.where(F.col("old").isNull() | F.col("new").isNull()).join(
-        used, F.col("producer").eqNullSafe(F.col("u_producer")) & (F.col("file_seq") == F.col("u_seq")) & (F.col("path") == F.col("u_path")), "left_anti"
+    files = cut(file_fields(records, path_statistics(path_values(records))))
+    sides = compared(files)
+    named = renames(sides, files).groupBy(*_FILE).agg(F.collect_list(F.struct("field_from", "field_to", "kinds_from", "kinds_to")).alias("named"))
+    keys = named.select(F.col("producer").alias("n_producer"), F.col("file_seq").alias("n_seq"), "named")
+    d = sides.join(keys, F.col("producer").eqNullSafe(F.col("n_producer")) & F.col("file_seq").eqNullSafe(F.col("n_seq")), "left")
+    d = d.withColumn("named", F.coalesce("named", F.array().cast(keys.schema["named"].dataType)))
+    change = lambda kind, a, b: F.struct(F.lit(kind).alias("change_kind"), a.alias("field_from"), b.alias("field_to"))
+    nothing = F.lit("")
+    gone = F.array_except(F.transform("gone", lambda f: f["path"]), F.transform("named", lambda p: p["field_from"]))
+    come = F.array_except(F.transform("come", lambda f: f["path"]), F.transform("named", lambda p: p["field_to"]))
+    listed = F.concat(
+        F.transform("named", lambda p: change("renamed", p["field_from"], p["field_to"])),
+        F.transform(F.filter("named", lambda p: _differs(p["kinds_from"], p["kinds_to"])), lambda p: change("type", p["field_to"], p["field_to"])),
+        F.transform(gone, lambda p: change("removed", p, nothing)),
+        F.transform(come, lambda p: change("added", nothing, p)),
+        F.transform("retyped", lambda p: change("type", p, p)),
     )
-    come = F.col("old").isNull()
-    plain = one_sided.select(
-        *_FILE,
-        F.when(come, "added").otherwise("removed").alias("change_kind"),
-        F.when(come, "").otherwise(F.col("path")).alias("field_from"),
-        F.when(come, F.col("path")).otherwise("").alias("field_to"),
-    )
-    kept = neighbours.where(F.col("old").isNotNull() & F.col("new").isNotNull() & _differs(F.col("old.kinds"), F.col("new.kinds")))
-    kept = kept.select(*_FILE, F.lit("type").alias("change_kind"), F.col("path").alias("field_from"), F.col("path").alias("field_to"))
-    return out.unionByName(retyped).unionByName(plain).unionByName(kept)
-
-
-def measured_statistics(records: DataFrame) -> DataFrame:
-    """The statistics, materialised once: they are read several times below and small beside the records."""
-    from ..session import cut
-
-    return cut(path_statistics(path_values(records)))
+    return d.select(*_FILE, F.inline(listed))
 
 
 def _joined_names(pairs: DataFrame) -> DataFrame:
     """``first_names`` of any number of pairs (field_from, field_to, n): the smallest name of each group spreads along the pairs."""
-    from ..session import cut
-
     pairs = cut(pairs)
     both = pairs.select(F.col("field_from").alias("a"), F.col("field_to").alias("b")).union(pairs.select("field_to", "field_from"))
     labels, moved = cut(both.select(F.col("a").alias("path"), F.col("a").alias("root")).distinct()), 1
@@ -223,15 +229,16 @@ def _line_values(records: DataFrame) -> DataFrame:
     own = F.when(args.isNull(), F.map_entries(top)).otherwise(F.filter(F.map_entries(top), lambda e: e["key"] != "args"))
     flat = parsed.select(*_FILE, "line_no", F.inline(F.when(args.isNull(), own).otherwise(F.concat(settings, own))).alias("path", "value"))
     several = F.expr("try_variant_get(value, '$[1]', 'variant') IS NOT NULL OR coalesce(size(try_variant_get(value, '$', 'map<string,variant>')), 0) > 1")
-    flat = flat.select(*_FILE, "line_no", "path", _kind(F.expr("schema_of_variant(value)")).isNotNull().alias("filled"), F.when(several, F.expr("to_json(value)")).otherwise(_unwrapped("value")).alias("text"))
+    flat = flat.withColumn("kind", _kind(F.expr("schema_of_variant(value)")))
+    flat = flat.select(*_FILE, "line_no", "path", F.col("kind").isNotNull().alias("filled"), F.when(several, F.expr("to_json(value)")).otherwise(_unwrapped("value", F.col("kind"))).alias("text"))
     truth = F.when(F.lower("text") == "true", True).when(F.lower("text") == "false", False)
     flat = flat.withColumn("truth", truth).withColumn("whole", F.expr("try_cast(text AS bigint)"))
     return flat.withColumn("num", F.coalesce(F.expr("try_cast(text AS double)"), F.col("truth").cast("double")))
 
 
 def _named_values(records: DataFrame) -> DataFrame:
-    stats = measured_statistics(records)
-    names = first_names(renames(_neighbours(records, stats), stats))
+    files = cut(file_fields(records, path_statistics(path_values(records))))
+    names = first_names(renames(compared(files), files))
     return _line_values(records).join(measured(names), "path", "left").withColumn("name", F.coalesce("name", "path"))
 
 
