@@ -8,7 +8,7 @@ A source is a run and attempt; each field of a source is a series in order of st
   a mean and a scale, both exponentially weighted; every reading is clipped to ``CLIP`` scales around the mean *before* it
   updates them, so a spike cannot move the normal. Readings that failed the first two tests do not enter the chart. It runs
   forwards and backwards over the series and compares each reading with the average of both levels, which cancels the lag
-  behind a drifting level and leaves no cold start at either end.
+  behind a drifting level; near an end the direction that has just started there counts little, so there is no cold start.
 
 Sources may hold a third of all rows, so a series is never processed whole. Messages are first reduced to one copy (hash
 aggregate), packed into arrays per stretch of ``STRETCH`` steps, and numbered exactly: the running count of readings per field
@@ -34,7 +34,8 @@ from ..session import cut
 
 FIELDS = ("train", "gnorm", "lmax")
 STUCK = 6
-LIMIT = 5.25
+#: Ordinary readings stay within four times their scatter, cases lie beyond eight: the limit is as many times four as eight is of it.
+LIMIT = (4.0 * 8.0) ** 0.5
 CLIP = 3.0
 LAMBDA = 0.06
 LAMBDA_SCALE = 0.03
@@ -80,6 +81,12 @@ def _pass(x: np.ndarray, size: np.ndarray, out: np.ndarray) -> tuple[np.ndarray,
     return level, square
 
 
+def _blend(forward: np.ndarray, backward: np.ndarray, memory: float) -> np.ndarray:
+    """Average of both directions, each weighted by how much of it comes from readings rather than from its starting value."""
+    seen = 1 - (1 - memory) ** np.arange(len(forward)) + 1e-3
+    return (seen * forward + seen[::-1] * backward) / (seen + seen[::-1])
+
+
 def chart(series: Sequence[np.ndarray]) -> list[np.ndarray]:
     """Distance of every reading from the level around it, in scales; the series must be finite.
 
@@ -101,8 +108,8 @@ def chart(series: Sequence[np.ndarray]) -> list[np.ndarray]:
         back, back_square = _pass(y, size, back_out)
         distances = []
         for k, n in enumerate(size):
-            middle = (level[:n, k] + back[:n, k][::-1]) / 2
-            scale = np.sqrt((square[:n, k] + back_square[:n, k][::-1]) / 2)
+            middle = _blend(level[:n, k], back[:n, k][::-1], LAMBDA)
+            scale = np.sqrt(_blend(square[:n, k], back_square[:n, k][::-1], LAMBDA_SCALE))
             distances.append(np.abs(x[:n, k] - middle) / scale)
             far = distances[-1] > LIMIT
             out[:n, k], back_out[:n, k] = far, far[::-1]
