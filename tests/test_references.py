@@ -45,3 +45,11 @@ def test_hot_key_is_spread(spark):
     hot = spark.range(4000).select("id", F.lit("p9").alias("ref"), F.lit(at(2)).alias("loaded_at"))
     report = references.orphan_report(references.orphans(hot, "id", "ref", parents, "id", "t")).collect()
     assert [(r.reason, r.n_orphans) for r in report] == [("missing", 4000)]
+
+
+def test_hot_keys_are_spread_and_whole(spark):
+    refs = spark.range(5000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN 'gone' ELSE concat('k', id) END AS ref", "TIMESTAMP '2026-01-02 00:00:00' AS loaded_at")
+    parents = spark.createDataFrame([("hot", "2026-01-01 00:00:00"), ("k2", "2026-01-03 00:00:00")], "id string, at string").selectExpr("id", "CAST(at AS timestamp) AS loaded_at", "CAST(NULL AS timestamp) AS deleted_at")
+    for hot in (10, 700, 10**6):
+        got = {r.reason: r["count"] for r in references.orphans(refs, "id", "ref", parents, "id", "t", hot=hot).groupBy("reason").count().collect()}
+        assert got == {"missing": 1667 + 1665, "late": 1}
