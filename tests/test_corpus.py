@@ -117,6 +117,6 @@ def test_near_equal_chunks_follow_the_total(spark):
 def test_text_shards_leave_out_only_what_is_done(spark, sf):
     from tidemill.plans.smaller import QUERIES
 
-    shards = lambda *done: {r.source for r in QUERIES["k04_all_shards"](spark, sf, *done).collect()}
+    shards = lambda *done: {r.source for r in QUERIES["k04_text_shards"](spark, sf, *done).collect()}
     every = shards()
     assert {"web_0001", "web_0002"} & every and shards(("web_0001",)) == every - {"web_0001"}

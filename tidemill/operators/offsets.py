@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 STRETCH = 4096
 
 
@@ -45,3 +47,12 @@ def near_equal_chunks(rows: DataFrame, order: str, n: int) -> DataFrame:
     per = max(rows.count() // n, 1)
     numbered = running_total(rows, order, F.lit(1).cast("bigint"), name="_ix")
     return numbered.withColumn("chunk", F.least(F.floor(F.col("_ix") / per), F.lit(n - 1).cast("bigint"))).drop("_ix")
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """All columns and ``name``: the place of each row (from 0) in the sequence of ``order`` (unique, of any types). Rows are range
+    partitioned and sorted once and materialised; a partition's rows are numbered on from the sizes of those before it."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return placed.join(F.broadcast(starts), F.col("_p") == F.col("_q")).withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_q", "_i", "_b")

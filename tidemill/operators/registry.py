@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from ..sizes import measured
+from .offsets import running_total
+
 # Settings that are bookkeeping, not levers.
 NON_LEVER = (
     "out", "run_dir", "val_frac", "val_every", "resume", "data", "smoke", "patience", "min_delta", "patience_frac", "min_steps_frac", "degrade_frac", "warmup", "dropout_default", "seed", "steps",
@@ -74,3 +80,43 @@ def islands(records: DataFrame, size: int | None = None) -> DataFrame:
     d = records.withColumn("island", F.col("ix") - F.row_number().over(w))
     part = F.lit(0) if size is None else F.floor((F.row_number().over(Window.partitionBy("grp", "island").orderBy("ix")) - 1) / size)
     return d.withColumn("part", part).groupBy("grp", "island", "part").agg(F.min("ix").alias("first_ix"), F.max("ix").alias("last_ix"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def reconciled(records: DataFrame, group: str, order: str, claimed: str, held: str) -> DataFrame:
+    """group, state, records and kept: all records where at least as much is held as they claim, else the longest prefix that fits.
+    Rows of a group are never gathered: prefix sums run in two levels."""
+    sums = records.groupBy(group).agg(F.sum(claimed).alias("total"), F.sum(held).alias("there")).withColumnRenamed(group, "_g")
+    placed = running_total(records, order, F.col(claimed), [group], "_before").join(sums, F.col(group).eqNullSafe(F.col("_g")))
+    fits = (F.col("there") >= F.col("total")) | (F.col("_before") + F.col(claimed) <= F.col("there"))
+    state = F.when(F.col("there") == F.col("total"), "equal").when(F.col("there") > F.col("total"), "trim").otherwise("shrink")
+    return placed.groupBy(group, state.alias("state")).agg(F.count_if(fits).alias("records"), F.coalesce(F.sum(F.when(fits, F.col(claimed))), F.lit(0)).alias("kept"))
+
+
+def scanned_parts(members: DataFrame, group: str, part: str, ix: str) -> DataFrame:
+    """group, part, first_ix, last_ix, state, of distinct members: ``trusted``, ``scrambled`` (with holes) or ``overlapping`` parts by order
+    of name, and the ``gap`` stretches of the group's members that no trusted part covers (their part is null)."""
+    spans = members.groupBy(group, part).agg(F.min(ix).alias("lo"), F.max(ix).alias("hi"), F.count(F.lit(1)).alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(part).alias("part"), "lo", "hi", (F.col("hi") - F.col("lo") + 1 == F.col("n")).alias("whole"))))
+    held = spans.groupBy(group).agg(rows.alias("ps"))
+
+    def judge(acc: Column, p: Column) -> Column:
+        meets = F.exists(acc, lambda q: (q["state"] == "trusted") & (q["lo"] <= p["hi"]) & (p["lo"] <= q["hi"]))
+        state = F.when(~p["whole"], "scrambled").when(meets, "overlapping").otherwise("trusted")
+        return F.concat(acc, F.array(F.struct(p["part"].alias("part"), p["lo"].alias("lo"), p["hi"].alias("hi"), state.alias("state"))))
+
+    kinds = members.schema
+    empty = F.array().cast(f"array<struct<part:{kinds[part].dataType.simpleString()},lo:{kinds[ix].dataType.simpleString()},hi:{kinds[ix].dataType.simpleString()},state:string>>")
+    judged = cut(held.select(group, F.aggregate("ps", empty, judge).alias("ps")))
+    parts = judged.select(group, F.inline("ps")).select(group, "part", F.col("lo").alias("first_ix"), F.col("hi").alias("last_ix"), "state")
+    trusted = judged.select(F.col(group).alias("_g"), F.filter("ps", lambda q: q["state"] == "trusted").alias("ok"))
+    free = members.select(group, ix).distinct().join(measured(trusted), F.col(group).eqNullSafe(F.col("_g"))).where(~F.exists("ok", lambda q: (q["lo"] <= F.col(ix)) & (F.col(ix) <= q["hi"])))
+    gaps = islands(free.select(F.col(group).alias("grp"), F.col(ix).alias("ix"))).select(F.col("grp").alias(group), F.lit(None).cast(kinds[part].dataType).alias("part"), "first_ix", "last_ix", F.lit("gap").alias("state"))
+    return parts.unionByName(gaps)
+
+
+def anchor_steps(headers: DataFrame, tokens: Sequence[int]) -> DataFrame:
+    """producer, file_seq, anchor: the steps at which a run has seen exactly one of the token counts."""
+    whole = lambda k: F.col("args")[k].try_cast("bigint")
+    d = headers.withColumn("eff", whole("batch") * F.coalesce(whole("accum"), F.lit(1)) * whole("ctx")).where("eff > 0")
+    exact = F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: t % F.col("eff") == 0)
+    return d.select("producer", "file_seq", F.explode(F.transform(exact, lambda t: F.floor(t / F.col("eff")).cast("bigint"))).alias("anchor"))

@@ -298,7 +298,6 @@ def s15_head_by_bytes(spark: SparkSession, sf_dir: str, limit: int = 262_144) ->
     return offsets.running_total(rows, "doc_id", F.col("n")).where(F.col("before") + F.col("n") <= limit).select("doc_id")
 
 
-QUERIES["l10_budget_limit"], SQL["l10_budget_limit"] = QUERIES["s15_head_by_bytes"], SQL["s15_head_by_bytes"]
 
 relational(
     "s16_strided_sample",
@@ -319,7 +318,6 @@ def w19_shard_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES["w18_blocks"], SQL["w18_blocks"] = QUERIES["w19_shard_offsets"], SQL["w19_shard_offsets"]
 
 relational(
     "a09_size_consistency",

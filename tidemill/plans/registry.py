@@ -46,13 +46,8 @@ relational("j06_unregistered", "SELECT DISTINCT e.job_id FROM executions AS e LE
 relational("j06_phantom", "SELECT DISTINCT j.id FROM jobs AS j LEFT JOIN executions AS e ON e.job_id = j.id WHERE e.job_id IS NULL AND j.id IS NOT NULL")
 relational("j07_duplicate_owners", "SELECT id, count(DISTINCT name) AS names FROM jobs GROUP BY id HAVING count(DISTINCT name) > 1")
 relational("p17_projection", "SELECT run, attempt, step, val_bpb FROM loss WHERE kind = 'step'")
-relational("p23_comparable_runs", """SELECT a.source AS a, b.source AS b FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY source, lang) AS a
-JOIN (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY source, lang) AS b ON a.lang = b.lang AND a.n = b.n AND a.source < b.source""")
 
 # Claimed and actual: order headers against their lines.
-relational("j10_reconcile", """SELECT o_orderkey, CASE WHEN lines IS NULL THEN 'missing' WHEN abs(total - o_totalprice) < 0.01 THEN 'equal' WHEN total > o_totalprice THEN 'trim' ELSE 'shrink' END AS state
-FROM (SELECT o.o_orderkey, o.o_totalprice, l.lines, l.total FROM orders AS o LEFT JOIN (SELECT l_orderkey, count(*) AS lines, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey) AS l ON o.o_orderkey = l.l_orderkey) AS r""")
-relational("j12_keeper_check", """SELECT s.s_suppkey, CASE WHEN l.n IS NULL THEN 'missing' WHEN l.n < 100 THEN 'short' ELSE 'ok' END AS state FROM supplier AS s LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey) AS l ON s.s_suppkey = l.l_suppkey""")
 
 
 @query("""WITH d AS (SELECT DISTINCT l_orderkey AS grp, l_linenumber AS ix FROM lineitem), o AS (SELECT grp, ix, ix - row_number() OVER (PARTITION BY grp ORDER BY ix) AS island FROM d)

@@ -26,45 +26,21 @@ def over(name: str, base: str, body: str) -> None:
 _STRIP = f"regexp_replace(coalesce(text, ''), '^[{PY_SPACE}]+|[{PY_SPACE}]+$', '', 'g')"
 
 
-@query(f"SELECT source, count(*) AS texts, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT source, {_STRIP} AS t FROM documents) WHERE length(t) > 100 AND source NOT IN ('web_0001', 'web_0002') GROUP BY source")
-def k04_text_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of the shards still to be written: stripped, over 100 characters, shards already done taken out by an anti join."""
-    done = spark.createDataFrame([("web_0001",), ("web_0002",)], "source string")
-    d = table(spark, sf_dir, "documents").where("source IS NOT NULL").join(F.broadcast(done), "source", "left_anti").select("source", py_strip(F.coalesce("text", F.lit(""))).alias("t"))
-    return d.where(F.length("t") > 100).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("t").cast("bigint")).alias("chars"))
-
-
 @query(f"SELECT source, count(*) AS texts, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT source, {_STRIP} AS t FROM documents WHERE source IS NOT NULL) WHERE length(t) > 100 GROUP BY source")
-def k04_all_shards(spark: SparkSession, sf_dir: str, done: tuple[str, ...] = ()) -> DataFrame:
-    """As ``k04_text_shards``, with the shards already done as a parameter: none of them unless named."""
+def k04_text_shards(spark: SparkSession, sf_dir: str, done: tuple[str, ...] = ()) -> DataFrame:
+    """Texts of the shards still to be written: stripped, over 100 characters; the shards already done are a parameter."""
     d = table(spark, sf_dir, "documents").where("source IS NOT NULL").where(~F.col("source").isin(*done)).select("source", py_strip(F.coalesce("text", F.lit(""))).alias("t"))
     return d.where(F.length("t") > 100).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("t").cast("bigint")).alias("chars"))
 
 
-relational("k14_content_hash", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL", "SELECT doc_id, sha2(text, 256) AS sha FROM documents WHERE text IS NOT NULL")
 relational(
     "k08_part_sizes",
     """SELECT source, n_parts, last_part - first_part + 1 = n_parts AS contiguous FROM (SELECT source, count(DISTINCT CAST(floor(doc_id / 100) AS BIGINT)) AS n_parts, min(CAST(floor(doc_id / 100) AS BIGINT)) AS first_part,
     max(CAST(floor(doc_id / 100) AS BIGINT)) AS last_part FROM documents GROUP BY source) AS p""",
 )
-relational(
-    "j11_parts",
-    """SELECT o.l_orderkey AS part, o.lo, o.hi, o.hi - o.lo + 1 = o.n AS contiguous FROM (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) AS o
-    JOIN orders AS k ON k.o_orderkey = o.l_orderkey""",
-)
-relational("u05_except", "SELECT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer")
-relational("u05_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer")
 relational("u06_drop_set", "SELECT id FROM tasks WHERE id IS NOT NULL EXCEPT SELECT task_id FROM task_events")
-relational("u08_ordered_union", "SELECT part_no, id FROM (SELECT 1 AS part_no, id FROM tasks WHERE id IS NOT NULL UNION ALL SELECT 2, id FROM jobs WHERE id IS NOT NULL) AS u")
-relational("z02_stale_lengths", "SELECT doc_id, n_chars, length(text) AS actual FROM documents WHERE text IS NOT NULL AND n_chars <> length(text)")
 relational("t17_end_marks", "SELECT source, count(*) - 1 AS marks FROM documents WHERE text <> '' GROUP BY source")
-relational("r09_pattern_sizes", "SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS n_bytes FROM documents WHERE source LIKE 'web_%' OR source LIKE 'book_%'")
-relational(
-    "r02_exactly_one",
-    """SELECT k.source, CASE WHEN k.n = 1 THEN 'picked' ELSE 'refused' END AS pick FROM (SELECT source, sum(CASE WHEN lang = 'nl' THEN 1 ELSE 0 END) AS n FROM documents GROUP BY source) AS k""",
-)
 relational("r03_fallback_chain", "SELECT doc_id, round(coalesce(CASE WHEN n_chars > 0 THEN CAST(n_chars AS DOUBLE) END, CASE WHEN length(text) > 0 THEN CAST(length(text) AS DOUBLE) END, 1.0), 6) AS per_unit FROM documents")
-relational("r04_settings_changed", "SELECT a.doc_id FROM documents AS a JOIN documents AS b ON b.doc_id = a.doc_id + 1 WHERE a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source")
 relational("l05_ascending_report", "SELECT r.name, r.v FROM (SELECT c_mktsegment AS name, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY c_mktsegment) AS r WHERE r.v IS NOT NULL ORDER BY r.v, r.name")
 relational("l06_newest_loads", "SELECT id FROM task_events ORDER BY loaded_at DESC, id DESC LIMIT 25")
 relational("j20_lookup", "SELECT e.id, h.tz_name FROM executions AS e LEFT JOIN hosts AS h ON e.host = h.host")
@@ -84,8 +60,6 @@ def s12_console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("line_id", F.regexp_extract("line", r"step=(\d+)", 1).try_cast("bigint").alias("step"), F.regexp_extract("line", "train=([0-9.]+)", 1).try_cast("double").alias("train"))
 
 
-over("j15_anchor_steps", "kept", """WITH f AS (SELECT run, max(step) AS top FROM kept WHERE kind = 'step' GROUP BY run) SELECT run, anchor FROM f JOIN (VALUES (4096000), (8192000), (16384000)) AS t(tokens) ON CAST(tokens / 512 AS BIGINT) > 0
-JOIN (VALUES (8000), (16000), (32000)) AS a(anchor) ON anchor <= top AND anchor * 512 = tokens""")
 over("j16_newest_checkpoint", "kept", "SELECT run, max(step) AS newest FROM kept WHERE kind = 'chunk_complete' GROUP BY run")
 over("l07_last_twenty", "evals", "SELECT run, attempt, step FROM (SELECT *, row_number() OVER (PARTITION BY run, attempt ORDER BY step DESC) AS n FROM evals) AS r WHERE n <= 20")
 over("r01_token_budget", "steps", "SELECT run, max(step) * 2097152 AS tokens FROM steps GROUP BY run")
@@ -114,33 +88,6 @@ def j08_unmatched_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alone.select("run")
 
 
-@query()
-def a06_piece_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits per word piece and characters per piece of the corpus."""
-    pieces = corpus.piece_counts(table(spark, sf_dir, "documents")).withColumn("g", F.lit("all"))
-    chars = pieces.agg(F.sum(F.length("piece") * F.col("n")).alias("chars"), F.sum("n").alias("pieces"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("nlog"))
-    return chars.select("pieces", F.round(F.log2(F.col("pieces").cast("double")) - F.col("nlog") / F.col("pieces"), 6).alias("bits"), F.round(F.col("chars") / F.col("pieces"), 6).alias("chars_per_piece"))
-
-
-@query()
-def a23_bytes_per_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("t"))
-    n = F.size(pieces_of(F.col("t"))).cast("bigint")
-    return d.groupBy("source").agg(F.sum(F.octet_length("t").cast("bigint")).alias("bytes"), F.sum(n).alias("pieces")).withColumn("bytes_per_piece", F.round(F.col("bytes") / F.nullif("pieces", F.lit(0)), 6))
-
-
-QUERIES["t23_chars_per_token"] = QUERIES["a06_piece_entropy"]
-
-
-@query()
-def t22_split_selftest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of two halves cut after a newline against the pieces of the whole: how many texts agree."""
-    d = table(spark, sf_dir, "documents").where(F.instr("text", "\n") > 0).select("doc_id", "text", F.instr("text", "\n").alias("at"))
-    n = lambda c: F.size(pieces_of(c))
-    both = n(F.substr("text", F.lit(1), F.col("at"))) + n(F.substr("text", F.col("at") + 1))
-    return d.agg(F.count(F.lit(1)).alias("texts"), F.count_if(both == n(F.col("text"))).alias("agree"))
-
-
 @query()
 def z03_random_crops(spark: SparkSession, sf_dir: str, draws: int = 32, context: int = 512, seed: int = 1) -> DataFrame:
     """Random window offsets per shard; repeatable for a seed, unlike the deterministic windows not comparable across engines."""

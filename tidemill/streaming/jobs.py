@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +42,10 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
     q.awaitTermination()
     try:
         got = spark.read.schema(schema).parquet(out)
-    except Exception:  # noqa: BLE001 - nothing was there, so nothing was written
-        got = spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        got = spark.createDataFrame([], schema)  # nothing was there, so nothing was written
     return got.drop("batch") if mode == "complete" else got
 
 
