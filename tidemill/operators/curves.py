@@ -227,3 +227,44 @@ def smoothed(rows: DataFrame, value: str, span: int = 50, block: int = 4096) ->
     k = chained.select(F.col("run").alias("k_run"), F.col("attempt").alias("k_attempt"), F.col("block").cast("bigint").alias("k_block"), "start")
     joined = packed.join(k, F.col("run").eqNullSafe(F.col("k_run")) & F.col("attempt").eqNullSafe(F.col("k_attempt")) & (F.col("block") == F.col("k_block")))
     return joined.select(*CURVE, F.explode(F.arrays_zip("steps", scan("xs", "is", "start").alias("r"))).alias("z")).select(*CURVE, F.col("z.steps").alias("step"), F.col("z.r").alias("smoothed"))
+
+
+def paired_attempts(evals: DataFrame) -> DataFrame:
+    """run, attempt, ix, a, b: the evaluations of an attempt (b) beside those of the attempt before it (a), by position."""
+    before = evals.select("run", (F.col("attempt") + 1).alias("attempt"), "ix", F.col("v").alias("a"))
+    return evals.select("run", "attempt", "ix", F.col("v").alias("b")).join(before, ["run", "attempt", "ix"]).select("run", "attempt", "ix", "a", "b")
+
+
+def pair_statistics(pairs: DataFrame) -> DataFrame:
+    """run, attempt, n, mean, sd, se, low and high (95 %) of the differences of at least two pairs."""
+    d = F.col("b") - F.col("a")
+    s = pairs.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd")).where("n > 1").withColumn("se", F.col("sd") / F.sqrt("n"))
+    return s.withColumn("low", F.col("mean") - 1.96 * F.col("se")).withColumn("high", F.col("mean") + 1.96 * F.col("se"))
+
+
+def tripwire(checks: DataFrame, sides: dict[str, tuple[Column, Column]], margin: float, from_step: int = 100) -> DataFrame:
+    """run, attempt, side, step, hit, trips: per side, whether its first value is below the second by more than ``margin`` (never with a
+    margin of zero or less, or a null), and whether this and the check before it, both from ``from_step`` on, were hits."""
+    hit = lambda a, b: F.coalesce(a < b - margin, F.lit(False)) if margin > 0 else F.lit(False)
+    each = F.array(*[F.struct(F.lit(s).alias("side"), hit(a, b).alias("hit")) for s, (a, b) in sides.items()])
+    d = checks.select(*CURVE, "step", F.inline(each))
+    late = F.col("hit") & (F.col("step") >= from_step)
+    before = F.coalesce(F.lag(late).over(Window.partitionBy(*CURVE, "side").orderBy("step")), F.lit(False))
+    return d.select(*CURVE, "side", "step", "hit", (late & before).alias("trips"))
+
+
+def block_bootstrap(evals: DataFrame, resamples: int, regions: int) -> DataFrame:
+    """run, attempt, low, high: order statistics of the means of ``resamples`` draws, with replacement, of the means of ``regions``
+    contiguous regions. A curve's draws are made, sorted and read inside its own row: nothing is multiplied or shuffled."""
+    n = evals.groupBy(*CURVE).agg(F.count(F.lit(1)).alias("n"))
+    size = F.greatest(F.ceil(F.col("n") / regions), F.lit(1))
+    means = evals.join(n, CURVE).groupBy(*CURVE, F.floor(F.col("ix") / size).alias("region")).agg(F.avg("v").alias("mean"))
+    rows = means.groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("region", "mean"))).alias("r")).select(*CURVE, F.col("r.mean").alias("means"))
+    k = F.size("means")
+
+    def drawn(b: Column) -> Column:
+        pick = lambda i: F.element_at("means", (F.pmod(F.xxhash64("run", "attempt", b, i), k) + 1).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a + pick(i)) / k
+
+    d = rows.select(*CURVE, F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(resamples)), drawn)).alias("m"))
+    return d.select(*CURVE, F.element_at("m", int(0.025 * resamples) + 1).alias("low"), F.element_at("m", int(0.975 * resamples) + 1).alias("high"))

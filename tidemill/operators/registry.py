@@ -120,3 +120,13 @@ def anchor_steps(headers: DataFrame, tokens: Sequence[int]) -> DataFrame:
     d = headers.withColumn("eff", whole("batch") * F.coalesce(whole("accum"), F.lit(1)) * whole("ctx")).where("eff > 0")
     exact = F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: t % F.col("eff") == 0)
     return d.select("producer", "file_seq", F.explode(F.transform(exact, lambda t: F.floor(t / F.col("eff")).cast("bigint"))).alias("anchor"))
+
+
+def largest(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """The ``k`` largest distinct values of each group, by ``k`` passes of a plain maximum: no group is sorted or gathered."""
+    left, out = rows.select(group, value).distinct(), None
+    for _ in range(k):
+        top = left.groupBy(group).agg(F.max(value).alias(value))
+        out = top if out is None else out.unionByName(top)
+        left = left.join(top.select(F.col(group).alias("_g"), F.col(value).alias("_top")), F.col(group).eqNullSafe(F.col("_g"))).where(F.col(value) < F.col("_top")).drop("_g", "_top")
+    return out

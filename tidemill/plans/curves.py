@@ -43,7 +43,6 @@ def _evals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 over("s07_run_harvest", "kept", """SELECT run, attempt, step, train, val_bpb, kind FROM kept WHERE (kind = 'step' AND step IS NOT NULL AND train IS NOT NULL) OR kind = 'early_stop'""")
-QUERIES["p12_row_predicate"], SQL["p12_row_predicate"] = QUERIES["s07_run_harvest"], SQL["s07_run_harvest"]
 over(
     "s08_curve_audit",
     "kept",
@@ -52,8 +51,6 @@ over(
 )
 over("p13_truthy_values", "steps", "SELECT run, attempt, count(*) AS n FROM steps WHERE val_bpb IS NOT NULL AND val_bpb <> 0 GROUP BY run, attempt")
 over("p14_comparable", "evals", "SELECT run, best, best_step FROM (SELECT run, v AS best, step AS best_step, row_number() OVER (PARTITION BY run ORDER BY v, attempt, step) AS n FROM evals) AS r WHERE n = 1 AND best_step >= 1000")
-over("p24_value_sanity", "steps", "SELECT run, attempt, step, val FROM steps WHERE val IS NOT NULL AND NOT (val > 0 AND val < 20)")
-over("s13_last_step", "steps", "SELECT run, max(step) AS last_step FROM steps GROUP BY run")
 over("a14_best", "evals", "SELECT run, attempt, v AS best_bpb, step AS best_step FROM (SELECT *, row_number() OVER (PARTITION BY run, attempt ORDER BY v, step) AS n FROM evals) AS r WHERE n = 1")
 over(
     "a15_first_ratio",
@@ -124,12 +121,6 @@ def w09_flat_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.per_curve(_evals(spark, sf_dir), lambda v, s: (curves.flat_stop(v, 0.005, s[-1], s[-1], 0.25, 100, 1000),), "stop boolean")
 
 
-over(
-    "w10_recycling_tripwire",
-    "steps",
-    """WITH hits AS (SELECT run, attempt, step, coalesce(served_bpb < random_train_bpb - 0.05, false) AS hit FROM steps WHERE served_bpb IS NOT NULL OR random_train_bpb IS NOT NULL)
-    SELECT run, attempt, step FROM (SELECT *, lag(hit) OVER (PARTITION BY run, attempt ORDER BY step) AS hit_before FROM hits) AS h WHERE hit AND hit_before AND step >= 100""",
-)
 over("w11_degrade_guard", "evals", "SELECT run, attempt, step FROM (SELECT *, min(v) OVER (PARTITION BY run, attempt ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM evals) AS r WHERE v > best * 1.02")
 
 
@@ -208,17 +199,6 @@ over(
     m AS (SELECT run, CAST(substring(stamp, 7, 2) AS BIGINT) * 1440 + CAST(substring(stamp, 9, 2) AS BIGINT) * 60 + CAST(substring(stamp, 11, 2) AS BIGINT) AS minutes, substring(stamp, 1, 6) AS month FROM s)
     SELECT a.run, min(b.run) AS near_run, count(*) AS near_runs FROM m AS a JOIN m AS b ON a.month = b.month AND a.run <> b.run AND abs(a.minutes - b.minutes) <= 90 GROUP BY a.run""",
 )
-over(
-    "a17_paired_windows",
-    "evals",
-    """WITH f AS (SELECT run, ix, v FROM evals WHERE attempt = 1), s AS (SELECT run, ix, v FROM evals WHERE attempt = 2),
-    d AS (SELECT f.run, s.v - f.v AS d FROM f JOIN s ON f.run = s.run AND f.ix = s.ix),
-    m AS (SELECT run, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM d GROUP BY run)
-    SELECT run, n, round(mean, 9) AS mean, round(sd, 9) AS sd, round(mean - 1.96 * sd / sqrt(n), 9) AS low, round(mean + 1.96 * sd / sqrt(n), 9) AS high,
-    CASE WHEN abs(mean) <= 0.005 THEN 'within' WHEN mean > 0 THEN 'worse' ELSE 'better' END AS verdict FROM m WHERE n > 1""",
-)
-for twin in ("a18_verdict", "j13_paired_join"):
-    QUERIES[twin], SQL[twin] = QUERIES["a17_paired_windows"], SQL["a17_paired_windows"]
 over("a19_regions", "evals", "SELECT run, attempt, part_no, count(*) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd FROM (SELECT *, ntile(16) OVER (PARTITION BY run, attempt ORDER BY step) AS part_no FROM evals) AS r GROUP BY run, attempt, part_no")
 over("a21_sample_size", "evals", "SELECT run, count(*) AS n, CAST(ceil(power(1.96 * stddev_samp(v) / 0.01, 2)) AS BIGINT) AS needed FROM evals GROUP BY run HAVING count(*) > 1")
 over(
@@ -229,15 +209,3 @@ over(
 over("r17_draw_variance", "evals", "SELECT run, attempt, count(*) AS k, min(v) AS low, max(v) AS high, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(stddev_samp(v) / sqrt(count(*)), 9) AS se FROM evals GROUP BY run, attempt HAVING count(*) > 1")
 
 
-@query()
-def a20_block_bootstrap(spark: SparkSession, sf_dir: str, resamples: int = 400) -> DataFrame:
-    """Bootstrap interval of the mean over 16 regions per run: Poisson-free resampling by drawing region numbers per resample."""
-    e = _evals(spark, sf_dir).withColumn("region", F.ntile(16).over(Window.partitionBy(*CURVE).orderBy("step")))
-    regions = e.groupBy(*CURVE, "region").agg(F.avg("v").alias("mean")).groupBy(*CURVE).agg(F.array_sort(F.collect_list(F.struct("region", "mean"))).alias("r"))
-    regions = regions.select(*CURVE, F.col("r.mean").alias("means"))
-    draws = regions.select(*CURVE, "means", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    pick = lambda i: F.element_at("means", (F.pmod(F.xxhash64("run", "attempt", "b", i), F.size("means")) + 1).cast("int"))
-    one = draws.select(*CURVE, (F.aggregate(F.transform("means", lambda x, i: pick(i)), F.lit(0.0), lambda a, x: a + x) / F.size("means")).alias("m"))
-    ranked = one.withColumn("rn", F.row_number().over(Window.partitionBy(*CURVE).orderBy("m")) - 1)
-    at = lambda q: F.max(F.when(F.col("rn") == int(q * resamples), F.col("m")))
-    return ranked.groupBy(*CURVE).agg(at(0.025).alias("low"), at(0.975).alias("high"))

@@ -31,8 +31,20 @@ def u03_lever_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("producer", "file_seq", F.explode(registry.lever_names(registry.normal_args(F.col("args")), registry.normal_args(F.col("control_args")))).alias("key"))
 
 
-for twin in ("j05_arm_control", "p16_normal_args"):
-    QUERIES[twin], SQL[twin] = QUERIES["u03_lever_diff"], SQL["u03_lever_diff"]
+@query(f"WITH {_ARMS} SELECT producer, file_seq, key, try_cast(v AS DOUBLE) AS number, CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN v END AS word FROM norm")
+def p16_normal_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every header's settings in their normal form, one row a setting."""
+    h = registry.header_args(table(spark, sf_dir, "loss_file_records"))
+    d = h.select("producer", "file_seq", F.explode(registry.normal_args(F.col("args"))).alias("key", "v")).withColumn("number", F.col("v").try_cast("double"))
+    return d.select("producer", "file_seq", "key", "number", F.when(F.col("number").isNull(), F.col("v")).alias("word"))
+
+
+@query(f"""WITH {_ARMS} SELECT p.producer, p.file_seq, p.control_seq, try_cast(a.v AS DOUBLE) AS lr, try_cast(b.v AS DOUBLE) AS control_lr FROM prev p LEFT JOIN norm a ON a.producer = p.producer AND a.file_seq = p.file_seq AND a.key = 'lr'
+LEFT JOIN norm b ON b.producer = p.producer AND b.file_seq = p.control_seq AND b.key = 'lr'""")
+def j05_arm_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each arm, its control, and one setting of the newest header of either."""
+    d = registry.arms(table(spark, sf_dir, "loss_file_records"))
+    return d.select("producer", "file_seq", "control_seq", F.col("args")["lr"].try_cast("double").alias("lr"), F.col("control_args")["lr"].try_cast("double").alias("control_lr"))
 
 
 @query(f"""WITH {_ARMS}, t AS (SELECT p.producer, p.file_seq, count(d.key) AS touched, coalesce(count_if(d.key NOT IN ('lr', 'eff_batch')), 0) AS undeclared, 2 - coalesce(count_if(d.key IN ('lr', 'eff_batch')), 0) AS unchanged
@@ -44,8 +56,6 @@ def u04_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 relational("j06_unregistered", "SELECT DISTINCT e.job_id FROM executions AS e LEFT JOIN jobs AS j ON e.job_id = j.id WHERE j.id IS NULL AND e.job_id IS NOT NULL")
 relational("j06_phantom", "SELECT DISTINCT j.id FROM jobs AS j LEFT JOIN executions AS e ON e.job_id = j.id WHERE e.job_id IS NULL AND j.id IS NOT NULL")
-relational("j07_duplicate_owners", "SELECT id, count(DISTINCT name) AS names FROM jobs GROUP BY id HAVING count(DISTINCT name) > 1")
-relational("p17_projection", "SELECT run, attempt, step, val_bpb FROM loss WHERE kind = 'step'")
 
 # Claimed and actual: order headers against their lines.
 
@@ -110,4 +120,3 @@ def r11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("id").agg(F.max(F.struct("loaded_at", "status")).alias("m")).select("id", F.col("m.status").alias("status"))
 
 
-QUERIES["a16_schema_counts"], SQL["a16_schema_counts"] = QUERIES["s08_key_sets"], SQL["s08_key_sets"]

@@ -33,42 +33,21 @@ def k04_text_shards(spark: SparkSession, sf_dir: str, done: tuple[str, ...] = ()
     return d.where(F.length("t") > 100).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("t").cast("bigint")).alias("chars"))
 
 
-relational(
-    "k08_part_sizes",
-    """SELECT source, n_parts, last_part - first_part + 1 = n_parts AS contiguous FROM (SELECT source, count(DISTINCT CAST(floor(doc_id / 100) AS BIGINT)) AS n_parts, min(CAST(floor(doc_id / 100) AS BIGINT)) AS first_part,
-    max(CAST(floor(doc_id / 100) AS BIGINT)) AS last_part FROM documents GROUP BY source) AS p""",
-)
-relational("u06_drop_set", "SELECT id FROM tasks WHERE id IS NOT NULL EXCEPT SELECT task_id FROM task_events")
 relational("t17_end_marks", "SELECT source, count(*) - 1 AS marks FROM documents WHERE text <> '' GROUP BY source")
 relational("r03_fallback_chain", "SELECT doc_id, round(coalesce(CASE WHEN n_chars > 0 THEN CAST(n_chars AS DOUBLE) END, CASE WHEN length(text) > 0 THEN CAST(length(text) AS DOUBLE) END, 1.0), 6) AS per_unit FROM documents")
 relational("l05_ascending_report", "SELECT r.name, r.v FROM (SELECT c_mktsegment AS name, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY c_mktsegment) AS r WHERE r.v IS NOT NULL ORDER BY r.v, r.name")
 relational("l06_newest_loads", "SELECT id FROM task_events ORDER BY loaded_at DESC, id DESC LIMIT 25")
-relational("j20_lookup", "SELECT e.id, h.tz_name FROM executions AS e LEFT JOIN hosts AS h ON e.host = h.host")
-relational("a09_manifest_check", "SELECT d.source, d.n = m.n AS consistent FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS d JOIN (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source) AS m ON d.source IS NOT DISTINCT FROM m.source")
-relational(
-    "r10_reply_arrays",
-    """SELECT doc_id, regexp_extract(text, '\\[[^\\[\\]]*\\]', 0) AS found FROM documents WHERE regexp_matches(text, '\\[[^\\[\\]]*\\]')""",
-    r"""SELECT doc_id, regexp_extract(text, '\\[[^\\[\\]]*\\]', 0) AS found FROM documents WHERE text RLIKE '\\[[^\\[\\]]*\\]'""",
-)
 
 
 
-@query(r"""SELECT line_id, try_cast(regexp_extract(line, 'step=(\d+)', 1) AS BIGINT) AS step, try_cast(regexp_extract(line, 'train=([0-9.]+)', 1) AS DOUBLE) AS train FROM loss_lines WHERE regexp_matches(line, 'step=\d+')""")
-def s12_console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Console lines among the run logs, scraped by pattern."""
-    lines = table(spark, sf_dir, "loss_lines").where(F.col("line").rlike(r"step=\d+"))
-    return lines.select("line_id", F.regexp_extract("line", r"step=(\d+)", 1).try_cast("bigint").alias("step"), F.regexp_extract("line", "train=([0-9.]+)", 1).try_cast("double").alias("train"))
 
 
-over("j16_newest_checkpoint", "kept", "SELECT run, max(step) AS newest FROM kept WHERE kind = 'chunk_complete' GROUP BY run")
+
 over("l07_last_twenty", "evals", "SELECT run, attempt, step FROM (SELECT *, row_number() OVER (PARTITION BY run, attempt ORDER BY step DESC) AS n FROM evals) AS r WHERE n <= 20")
-over("r01_token_budget", "steps", "SELECT run, max(step) * 2097152 AS tokens FROM steps GROUP BY run")
-over("r08_last_identity", "kept", "SELECT run, max(batch_id) AS batch_id FROM kept GROUP BY run")
 over("r16_mode_gap", "steps", """SELECT run, CASE WHEN gap > 0.5 THEN 'large' WHEN gap < 0.2 THEN 'small' ELSE 'middle' END AS verdict FROM (SELECT run, abs(avg(avg50) - avg(val)) AS gap FROM steps
 WHERE val > 0 AND val < 20 AND avg50 > 0 AND avg50 < 20 GROUP BY run) AS g""")
 over("p22_like_for_like", "evals", """WITH a AS (SELECT run, attempt, count(*) AS n, max(step) AS top, min(step) AS low FROM evals GROUP BY run, attempt)
 SELECT x.run, x.attempt AS a, y.attempt AS b, x.n = y.n AS same_draws, x.top - x.low = y.top - y.low AS same_span FROM a AS x JOIN a AS y ON x.run = y.run AND y.attempt = x.attempt + 1""")
-over("x02_changed_signatures", "kept", """SELECT run, count(*) AS versions FROM (SELECT run, batch_id, count(*) AS n, max(delivered_at) AS newest FROM kept GROUP BY run, batch_id) AS s GROUP BY run""")
 
 
 @query(f"""SELECT run_stamp, count(*) AS n FROM (SELECT substring(run, length(run) - 11, 6) AS run_stamp FROM (SELECT DISTINCT run FROM loss WHERE run IS NOT NULL) AS r WHERE {'true'}) AS s GROUP BY run_stamp""")

@@ -31,7 +31,6 @@ def z05_strided_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.strided_offsets(_streams(spark, sf_dir), "n", _CTX, 64).select("source", "draw_ix", "offset")
 
 
-QUERIES["z04_fixed_draws"], SQL["z04_fixed_draws"] = QUERIES["z05_strided_windows"], SQL["z05_strided_windows"]
 
 
 @query(f"WITH {_STREAMS} SELECT source, i AS probe, CAST(i * greatest(1, (n - {_CTX + 1}) // 10) AS BIGINT) AS \"offset\" FROM s, (SELECT unnest(range(10)) AS i) WHERE n > {_CTX + 1}")

@@ -275,6 +275,7 @@ def log_scrape(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.select(
         "*",
         F.regexp_extract(line, r"step\s+(\d+)", 1).try_cast("bigint").alias("step"),
+        F.regexp_extract(line, r"step\s+\d+/(\d+)", 1).try_cast("int").alias("horizon"),
         number(r"val=\s*([0-9.eE+-]+)").alias("val"),
         number(r"bpb=\s*([0-9.eE+-]+)").alias("bpb"),
         number(r"avg50=\s*([0-9.eE+-]+)").alias("avg50"),
