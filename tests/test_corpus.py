@@ -120,3 +120,15 @@ def test_text_shards_leave_out_only_what_is_done(spark, sf):
     shards = lambda *done: {r.source for r in QUERIES["k04_text_shards"](spark, sf, *done).collect()}
     every = shards()
     assert {"web_0001", "web_0002"} & every and shards(("web_0001",)) == every - {"web_0001"}
+
+
+def test_reply_items(spark):
+    replies = ["Sure:\n```json\n[{\"q\": \"a]\", \"n\": 1}, {\"q\": \"b\"}]\n```\nMore [1]?", "[{\"q\": \"c\"}]", "```\n[{\"q\": \"d\"}]\n```", "no array", "[broken", None]
+    got = corpus.reply_items(spark.createDataFrame(list(enumerate(replies)), "id int, reply string"), "reply", "q string, n int").collect()
+    assert [(r.id, r.q, r.n) for r in got] == [(0, "a]", 1), (0, "b", None), (1, "c", None), (2, "d", None)]
+
+
+def test_numbered_rows_follow_their_order(spark):
+    rows = spark.range(5000).selectExpr("concat('k', lpad(CAST((id * 7919) % 5000 AS string), 5, '0')) AS k", "id").repartition(7)
+    got = {r.k: r.place for r in offsets.numbered(rows, ["k"], "place").collect()}
+    assert got == {f"k{i:05d}": i for i in range(5000)} and offsets.numbered(rows.limit(0), ["k"], "place").count() == 0

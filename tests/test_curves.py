@@ -2,6 +2,7 @@ import math
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemill.operators import curves as c
 
@@ -60,3 +61,27 @@ def test_smoothed_equals_loop(spark, xs):
     for i, x in enumerate(xs):
         r += (x - r) / min(i + 1, 50)
         assert math.isclose(got[i], r, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_tripwire(spark):
+    # Four checks of a run.
+    checks = [(100 * (i + 1), s, r) for i, (s, r) in enumerate([(1.1724, 1.2954), (1.2097, 1.3427), (1.1762, 1.3289), (1.1718, 1.3358)])]
+    d = spark.createDataFrame([("r", 1, *x) for x in checks] + [("r", 2, 50, 1.0, 2.0), ("r", 2, 100, 1.0, 2.0), ("r", 2, 150, 1.0, 2.0), ("r", 3, 200, None, 2.0)], "run string, attempt int, step bigint, s double, r double")
+
+    def hits(margin, attempt=1):
+        got = c.tripwire(d, {"served": (F.col("s"), F.col("r"))}, margin).where(F.col("attempt") == attempt).orderBy("step").collect()
+        return [r.hit for r in got], [r.trips for r in got]
+
+    assert hits(0.15) == ([False, False, True, True], [False, False, False, True])
+    assert hits(0.30)[0] == hits(0.0)[0] == hits(-1.0)[0] == [False] * 4
+    assert hits(0.15, 2) == ([True, True, True], [False, False, True]) and hits(0.15, 3) == ([False], [False])
+
+
+def test_pairs_and_bootstrap(spark):
+    e = spark.createDataFrame([("r", a, i, i * 10, float(v)) for a, vs in ((1, [1, 2, 3, 4]), (2, [2, 3, 5, 5, 9]), (4, [1])) for i, v in enumerate(vs)], "run string, attempt int, ix int, step bigint, v double")
+    p = c.paired_attempts(e)
+    assert sorted((r.attempt, r.ix, r.a, r.b) for r in p.collect()) == [(2, 0, 1.0, 2.0), (2, 1, 2.0, 3.0), (2, 2, 3.0, 5.0), (2, 3, 4.0, 5.0)]
+    s = c.pair_statistics(p).first()
+    assert s.n == 4 and abs(s.mean - 1.25) < 1e-12 and abs(s.sd - 0.5) < 1e-12 and s.low < s.mean < s.high
+    b = {(r.run, r.attempt): (r.low, r.high) for r in c.block_bootstrap(e, 400, 16).collect()}
+    assert b["r", 4] == (1.0, 1.0) and 1 <= b["r", 1][0] < 2.5 < b["r", 1][1] <= 4
