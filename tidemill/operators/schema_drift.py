@@ -52,15 +52,17 @@ def _unwrapped(value: str, kind: Column) -> Column:
 
 
 def path_values(records: DataFrame) -> DataFrame:
-    """producer, file_seq, line_no, path, kind, text, num of every field of every record."""
+    """producer, file_seq, line_no, path, kind, text (of what is no number) and num of every field of every record."""
     parsed = records.select(*_FILE, "line_no", F.expr("try_parse_json(body)").alias("v"))
     header = F.expr("try_variant_get(v, '$.args', 'variant')")
     parsed = parsed.withColumn("is_header", header.isNotNull()).withColumn("fields", F.expr("try_variant_get(CASE WHEN is_header THEN variant_get(v, '$.args', 'variant') ELSE v END, '$', 'map<string,variant>')"))
     flat = parsed.select(*_FILE, "line_no", "is_header", F.explode("fields").alias("key", "value"))
     flat = flat.withColumn("kind", _kind(F.expr("schema_of_variant(value)")))
-    flat = flat.select(*_FILE, "line_no", F.when(F.col("is_header"), F.concat(F.lit("args."), F.col("key"))).otherwise(F.col("key")).alias("path"), "kind", _unwrapped("value", F.col("kind")).alias("text"))
+    flat = flat.select(*_FILE, "line_no", F.when(F.col("is_header"), F.concat(F.lit("args."), F.col("key"))).otherwise(F.col("key")).alias("path"), "kind", "value")
+    number = F.coalesce(F.col("kind") == "number", F.lit(False))
+    flat = flat.select(*_FILE, "line_no", "path", "kind", F.when(number, F.expr("try_variant_get(value, '$', 'double')")).alias("own"), F.when(~number, _unwrapped("value", F.col("kind"))).alias("text"))
     truth = F.when(F.lower("text") == "true", 1.0).when(F.lower("text") == "false", 0.0)
-    return flat.withColumn("num", F.coalesce(F.expr("try_cast(text AS double)"), truth))
+    return flat.withColumn("num", F.coalesce("own", F.expr("try_cast(text AS double)"), truth)).drop("own")
 
 
 def path_statistics(values: DataFrame) -> DataFrame:
