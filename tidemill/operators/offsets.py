@@ -56,3 +56,20 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return placed.join(F.broadcast(starts), F.col("_p") == F.col("_q")).withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_q", "_i", "_b")
+
+
+def previous(rows: DataFrame, order: Sequence[str], value: str, by: Sequence[str], name: str, stretch: int = STRETCH) -> DataFrame:
+    """All columns and ``name``: ``value`` of the row before in the group's sequence of ``order`` (its first column is a whole number by
+    which the sequence is cut into stretches). Within a stretch it is a window; a stretch's first row takes the last value of the stretch
+    before, from the small table of stretches."""
+    by, first = list(by), order[0]
+    cut_rows = rows.withColumn("_s", F.floor(F.col(first) / F.lit(stretch)))
+    inside = Window.partitionBy(*by, "_s").orderBy(*order)
+    d = cut_rows.withColumn("_v", F.lag(value).over(inside)).withColumn("_head", F.row_number().over(inside) == 1)
+    lasts = cut_rows.groupBy(*by, "_s").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    lasts = lasts.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("_s").alias("_t"), F.lag("_last").over(Window.partitionBy(*by).orderBy("_s")).alias("_before"))
+    at = F.col("_s").eqNullSafe(F.col("_t"))
+    for i, b in enumerate(by):
+        at = at & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    joined = d.join(lasts, at, "left").withColumn(name, F.when(F.col("_head"), F.col("_before")).otherwise(F.col("_v")))
+    return joined.drop("_s", "_v", "_head", "_t", "_before", *[f"_k{i}" for i in range(len(by))])

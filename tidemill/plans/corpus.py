@@ -299,10 +299,11 @@ def s15_head_by_bytes(spark: SparkSession, sf_dir: str, limit: int = 262_144) ->
 
 
 
-relational(
-    "s16_strided_sample",
-    """SELECT doc_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ix FROM documents) AS d WHERE ix % 10 = 0 AND trim(coalesce(text, '')) <> ''""",
-)
+@query("""SELECT doc_id FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ix FROM documents) AS d WHERE ix % 10 = 0 AND trim(coalesce(text, '')) <> ''""")
+def s16_strided_sample(spark: SparkSession, sf_dir: str, stride: int = 10) -> DataFrame:
+    """Every tenth text of each shard, in order, unless it is blank."""
+    d = _docs(spark, sf_dir).select("doc_id", "source", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("filled"))
+    return offsets.running_total(d, "doc_id", F.lit(1).cast("bigint"), ["source"], "ix").where((F.col("ix") % stride == 0) & F.col("filled")).select("doc_id")
 
 
 @query("""SELECT source, shard_ix, tokens, CAST(coalesce(sum(tokens) OVER (ORDER BY shard_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_token, ntile(8) OVER (ORDER BY shard_ix) AS worker
