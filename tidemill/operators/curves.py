@@ -1,8 +1,8 @@
 """Ordered analytics over training curves: noise, cycles, envelopes, stop rules, guards.
 
 A curve is a run and attempt in order of step. Rules that only look at neighbours or at running extremes are window expressions.
-Rules that carry state from row to row are folds over the *evaluation* rows of a curve, which are first packed into an ordered
-array per curve (evaluations are rare: one row in many), so no row-level group is gathered.
+Rules that carry state from row to row are array aggregates over the *evaluation* rows of a curve, which are first packed into an
+ordered array per curve (evaluations are rare: one row in many), so no row-level group is gathered.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut
 from .offsets import running_total
@@ -48,75 +47,70 @@ def series(evals: DataFrame) -> DataFrame:
     return packed.select(*CURVE, F.col("rows_.v").alias("vs"), F.col("rows_.step").alias("steps"))
 
 
-# Stateful rules as folds; each is a plain function of a list, run in Arrow batches of curves.
+# Stateful rules as array expressions over ``series``: what is carried from value to value is an aggregate over the array.
 
 
-def strikes(values: Sequence[float], patience: int, min_delta: float = 1e-4) -> tuple[float | None, int, int | None]:
-    """Best value, strikes since the last improvement of more than ``min_delta``, and the index where patience ran out."""
-    best, bad, stop = None, 0, None
-    for i, v in enumerate(values):
-        if best is None or v < best - min_delta:
-            best, bad = v, 0
-        else:
-            bad += 1
-            if patience > 0 and bad >= patience and stop is None:
-                stop = i
-    return best, bad, stop
+def strikes(rows: DataFrame, patience: Column, min_delta: float = 1e-4) -> DataFrame:
+    """Adds best (so far), strikes (since the last improvement of more than ``min_delta``) and stop_step (where ``patience``, if above
+    zero, first ran out)."""
+    begin = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("strikes"), F.lit(None).cast("bigint").alias("stop_step"))
 
+    def step(acc: Column, x: Column) -> Column:
+        better = acc["best"].isNull() | (x["v"] < acc["best"] - min_delta)
+        count = F.when(better, 0).otherwise(acc["strikes"] + 1)
+        out = (patience > 0) & (count >= patience) & (count > 0)
+        return F.struct(F.when(better, x["v"]).otherwise(acc["best"]).alias("best"), count.alias("strikes"), F.coalesce(acc["stop_step"], F.when(out, x["step"])).alias("stop_step"))
 
-def _upper_median(values: Sequence[float]) -> float:
-    return sorted(values)[len(values) // 2]
+    pairs = F.arrays_zip(F.col("vs").alias("v"), F.col("steps").alias("step"))
+    return rows.withColumn("_f", F.aggregate(pairs, begin, step)).select("*", "_f.*").drop("_f")
 
 
-def cycle_length(values: Sequence[float], longest: int = 8, share: float = 0.6) -> int:
-    """Period of the sampler behind a series: the lag whose median change over the later half is smallest, if that is at most
-    ``share`` of the median change from one value to the next; else 1. The smallest lag wins ties."""
-    if len(values) < 2 * longest + 2:
-        return 1
-    late = values[len(values) // 2 :]
-    change = {p: _upper_median([abs(b - a) for a, b in zip(late, late[p:])]) for p in range(1, min(longest, len(late) - 1) + 1)}
-    lags = [p for p in change if p > 1]
-    if not lags:
-        return 1
-    best = min(lags, key=lambda p: (change[p], p))
-    return best if change[1] > 0 and change[best] <= share * change[1] else 1
+def cycle_lengths(rows: DataFrame, vs: str = "vs", name: str = "period", longest: int = 8, share: float = 0.6) -> DataFrame:
+    """Adds the period of the sampler behind a series: among the lags from 2 to ``longest`` the one with the smallest (upper) median
+    change over the later half, if that is at most ``share`` of the median change from one value to the next; else 1. The smaller lag
+    wins ties. Series of fewer than two rounds of ``longest`` and two values have none."""
+    late = F.slice(vs, F.floor(F.size(vs) / 2).cast("int") + 1, F.size(vs))
+    m = F.size("_late")
 
+    def change(p: int) -> Column:
+        moved = F.transform(F.slice("_late", p + 1, m), lambda x, i: F.abs(x - F.element_at("_late", i + 1)))
+        return F.try_element_at(F.array_sort(moved), (F.floor((m - p) / 2) + 1).cast("int"))
 
-def round_means(values: Sequence[float], period: int = 0) -> tuple[list[float], int]:
-    """Mean of each whole round (a partial last round is dropped), or the series itself if it has no cycle."""
-    p = period or cycle_length(values)
-    if p <= 1 or len(values) < 2 * p:
-        return list(values), 1
-    return [sum(values[i : i + p]) / p for i in range(0, len(values) - p + 1, p)], p
+    d = rows.withColumn("_late", F.when(F.size(vs) >= 2 * longest + 2, late))
+    d = d.withColumn("_one", change(1)).withColumn("_best", F.array_min(F.array(*[F.struct(change(p).alias("c"), F.lit(p).alias("p")) for p in range(2, longest + 1)])))
+    cyclic = (F.col("_one") > 0) & (F.col("_best.c") <= share * F.col("_one"))
+    return d.withColumn(name, F.when(F.coalesce(cyclic, F.lit(False)), F.col("_best.p")).otherwise(1)).drop("_late", "_one", "_best")
 
 
-def stalled(values: Sequence[float], delta: float, steps: int, share: float, every: int, at_least: int = 8) -> bool:
-    """No round within the budget is worse than the newest by more than ``delta``."""
-    rounds, period = round_means(values)
-    if period <= 1 or len(rounds) < 2:
-        if len(values) < at_least:
-            return False
-        rounds, period = list(values), 1
-    back = max(1, round(share * steps / max(1, period * max(1, every))))
-    return len(rounds) > back and max(rounds[-back - 1 : -1]) <= rounds[-1] + delta
+def envelope(rows: DataFrame, vs: str = "vs", name: str = "means", period: str = "period") -> DataFrame:
+    """Adds the period and the mean of each whole round (a partial last round is left out); without at least two rounds the series itself,
+    of period 1."""
+    d = cycle_lengths(rows, vs, period)
+    whole = (F.col(period) > 1) & (F.size(vs) >= 2 * F.col(period))
+    starts = F.sequence(F.lit(1), F.size(vs) - F.col(period) + 1, F.greatest(F.col(period), F.lit(1)))
+    means = F.transform(starts, lambda i: F.aggregate(F.slice(vs, i, F.col(period)), F.lit(0.0), lambda a, x: a + x) / F.col(period))
+    return d.withColumn(name, F.when(whole, means).otherwise(F.col(vs))).withColumn(period, F.when(whole, F.col(period)).otherwise(1))
 
 
-def flat_stop(values: Sequence[float], delta: float, step: int, steps: int, share: float, every: int, min_step: int = 0) -> bool:
-    """Stalled now and one evaluation earlier, past ``min_step``."""
-    if share <= 0 or steps <= 0 or step < min_step or len(values) < 2:
-        return False
-    return stalled(values, delta, steps, share, every) and stalled(values[:-1], delta, steps, share, every)
+def stalled(rows: DataFrame, name: str, delta: float, total: Column, share: float, every: int, vs: str = "vs", at_least: int = 8) -> DataFrame:
+    """Adds whether no round within the last ``share`` of ``total`` steps is worse than the newest by more than ``delta``. A series without
+    two rounds is looked at value by value, if it has ``at_least`` of them."""
+    d = envelope(rows, vs, "_m", "_p").withColumn("_rounds", (F.col("_p") > 1) & (F.size("_m") >= 2))
+    d = d.withColumn("_r", F.when(F.col("_rounds"), F.col("_m")).otherwise(F.col(vs))).withColumn("_q", F.when(F.col("_rounds"), F.col("_p")).otherwise(1))
+    back = F.greatest(F.lit(1), F.bround(share * total / F.greatest(F.lit(1), F.col("_q") * max(1, every))).cast("int"))
+    d = d.withColumn("_back", back)
+    worst = F.array_max(F.slice("_r", F.greatest(F.size("_r") - F.col("_back"), F.lit(1)), F.col("_back")))
+    enough = F.col("_rounds") | (F.size(vs) >= at_least)
+    flat = enough & (F.size("_r") > F.col("_back")) & (worst <= F.try_element_at("_r", F.lit(-1)) + delta)
+    return d.withColumn(name, F.coalesce(flat, F.lit(False))).drop("_m", "_p", "_rounds", "_r", "_q", "_back")
 
 
-def per_curve(evals: DataFrame, f: Callable[[list[float], list[int]], tuple], schema: str) -> DataFrame:
-    """Apply a fold to every curve's ordered evaluations, in Arrow batches of curves."""
-    fields = T.StructType.fromDDL(schema)
-
-    @F.pandas_udf(fields)
-    def run(vs: pd.Series, steps: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([f([float(x) for x in v], [int(x) for x in s]) for v, s in zip(vs, steps)], columns=fields.names, dtype=object)
-
-    return series(evals).select(*CURVE, run("vs", "steps").alias("r")).select(*CURVE, "r.*")
+def flat_stop(rows: DataFrame, name: str, delta: float, step: Column, total: Column, share: float, every: int, min_step: int = 0) -> DataFrame:
+    """Adds whether the curve is stalled now and was one evaluation earlier, past ``min_step``."""
+    d = rows.withColumn("_early", F.slice("vs", F.lit(1), F.greatest(F.size("vs") - 1, F.lit(0))))
+    d = stalled(stalled(d, "_now", delta, total, share, every), "_then", delta, total, share, every, "_early")
+    armed = (F.lit(share) > 0) & (total > 0) & (step >= min_step) & (F.size("vs") >= 2)
+    return d.withColumn(name, armed & F.col("_now") & F.col("_then")).drop("_early", "_now", "_then")
 
 
 # Window forms

@@ -77,22 +77,18 @@ over("w03_last_eight", "evals", "SELECT run, attempt, step, count(v) OVER w AS h
 
 @query()
 def w04_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fold(v, s):
-        best, bad, stop = curves.strikes(v, 10)
-        return best, bad, None if stop is None else s[stop]
-
-    return curves.per_curve(_evals(spark, sf_dir), fold, "best double, strikes int, stop_step bigint")
+    """Best value, strikes since, and the step at which ten strikes in a row end the curve."""
+    return curves.strikes(curves.series(_evals(spark, sf_dir)), F.lit(10)).select(*CURVE, "best", "strikes", "stop_step")
 
 
 @query()
 def w05_cycle_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.per_curve(_evals(spark, sf_dir), lambda v, s: (len(v), curves.cycle_length(v)), "n int, period int")
+    return curves.cycle_lengths(curves.series(_evals(spark, sf_dir))).select(*CURVE, F.size("vs").alias("n"), "period")
 
 
 @query()
 def w06_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rounds = curves.per_curve(_evals(spark, sf_dir), lambda v, s: curves.round_means(v)[::-1], "period int, means array<double>")
-    return rounds.select(*CURVE, "period", F.posexplode("means").alias("round", "mean"))
+    return curves.envelope(curves.series(_evals(spark, sf_dir))).select(*CURVE, "period", F.posexplode("means").alias("round", "mean"))
 
 
 @query(f"WITH {_EVALS} SELECT run, attempt, ix // 5 AS block, min(v) AS low, max(step) - min(step) AS span FROM evals GROUP BY 1, 2, 3 HAVING count(*) = 5")
@@ -107,12 +103,13 @@ def w25_block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def w08_stalled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.per_curve(_evals(spark, sf_dir), lambda v, s: (curves.stalled(v, 0.005, s[-1], 0.25, 100),), "stalled boolean")
+    return curves.stalled(curves.series(_evals(spark, sf_dir)), "stalled", 0.005, F.element_at("steps", -1), 0.25, 100).select(*CURVE, "stalled")
 
 
 @query()
 def w09_flat_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.per_curve(_evals(spark, sf_dir), lambda v, s: (curves.flat_stop(v, 0.005, s[-1], s[-1], 0.25, 100, 1000),), "stop boolean")
+    last = F.element_at("steps", -1)
+    return curves.flat_stop(curves.series(_evals(spark, sf_dir)), "stop", 0.005, last, last, 0.25, 100, 1000).select(*CURVE, "stop")
 
 
 over("w11_degrade_guard", "evals", "SELECT run, attempt, step FROM (SELECT *, min(v) OVER (PARTITION BY run, attempt ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM evals) AS r WHERE v > best * 1.02")
@@ -120,12 +117,9 @@ over("w11_degrade_guard", "evals", "SELECT run, attempt, step FROM (SELECT *, mi
 
 @query()
 def w12_plateau_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fold(v, s):
-        patience = max(1, round(0.25 * s[-1] / 100))
-        stop = curves.strikes(v, patience)[2]
-        return patience, None if stop is None else s[stop]
-
-    return curves.per_curve(_evals(spark, sf_dir), fold, "patience int, stop_step bigint")
+    """Patience is a quarter of the curve in checks of a hundred steps."""
+    rows = curves.series(_evals(spark, sf_dir)).withColumn("patience", F.greatest(F.lit(1), F.bround(0.25 * F.element_at("steps", -1) / 100).cast("int")))
+    return curves.strikes(rows, F.col("patience")).select(*CURVE, "patience", "stop_step")
 
 
 @query(f"WITH {_EVALS} SELECT run, attempt, step, coalesce(v < before, true) AS is_best FROM (SELECT *, min(v) OVER (PARTITION BY run, attempt ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM evals) AS r")
