@@ -132,3 +132,14 @@ def test_numbered_rows_follow_their_order(spark):
     rows = spark.range(5000).selectExpr("concat('k', lpad(CAST((id * 7919) % 5000 AS string), 5, '0')) AS k", "id").repartition(7)
     got = {r.k: r.place for r in offsets.numbered(rows, ["k"], "place").collect()}
     assert got == {f"k{i:05d}": i for i in range(5000)} and offsets.numbered(rows.limit(0), ["k"], "place").count() == 0
+
+
+def test_previous_value_across_stretches(spark):
+    rows = spark.range(3000).selectExpr("id * 3 - 700 AS k", "id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 3 END AS g").where("k < 900 OR k > 5000")
+    for by in ([], ["g"]):
+        got = {r.k: r.before for r in offsets.previous(rows, ["k"], "id", by, "before", stretch=64).collect()}
+        last = {}
+        for r in rows.orderBy("k").collect():
+            key = r.g if by else None
+            assert got[r.k] == last.get(key)
+            last[key] = r.id

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import curves, offsets
@@ -160,13 +160,6 @@ over("r19_throughput", "kept", "SELECT run, count(*) AS windows, round(avg(tok_p
 over("r13_quiet_runs", "steps", """WITH l AS (SELECT run, attempt, max(delivered_at) AS newest FROM steps GROUP BY run, attempt)
     SELECT run, min(CASE WHEN newest < (SELECT max(newest) FROM l) - INTERVAL 1 HOUR THEN 1 ELSE 0 END) = 1 AS quiet FROM l GROUP BY run""")
 over("p19_run_name", "kept", "SELECT DISTINCT run, split_part(run, '_', 1) AS experiment, regexp_extract(run, '_([0-9]{12})$', 1) AS stamp FROM kept")
-over(
-    "j09_stamp_band",
-    "kept",
-    """WITH s AS (SELECT DISTINCT run, substring(run, length(run) - 11, 12) AS stamp FROM kept),
-    m AS (SELECT run, CAST(substring(stamp, 7, 2) AS BIGINT) * 1440 + CAST(substring(stamp, 9, 2) AS BIGINT) * 60 + CAST(substring(stamp, 11, 2) AS BIGINT) AS minutes, substring(stamp, 1, 6) AS month FROM s)
-    SELECT a.run, min(b.run) AS near_run, count(*) AS near_runs FROM m AS a JOIN m AS b ON a.month = b.month AND a.run <> b.run AND abs(a.minutes - b.minutes) <= 90 GROUP BY a.run""",
-)
 over("a19_regions", "evals", "SELECT run, attempt, part_no, count(*) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd FROM (SELECT *, ntile(16) OVER (PARTITION BY run, attempt ORDER BY step) AS part_no FROM evals) AS r GROUP BY run, attempt, part_no")
 over("a21_sample_size", "evals", "SELECT run, count(*) AS n, CAST(ceil(power(1.96 * stddev_samp(v) / 0.01, 2)) AS BIGINT) AS needed FROM evals GROUP BY run HAVING count(*) > 1")
 over(
@@ -231,3 +224,16 @@ def w21_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = placed.join(n, F.col("run").eqNullSafe(F.col("n_run")) & F.col("attempt").eqNullSafe(F.col("n_attempt")))
     stride = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / 600))
     return d.where((F.col("i") % stride == 0) | F.col("val").isNotNull() | (F.col("i") == F.col("n") - 1)).select(*CURVE, "step")
+
+
+@query(f"""WITH {_KEPT}, s AS (SELECT DISTINCT run, regexp_extract(run, '_([0-9]{{12}})$', 1) AS stamp FROM kept), m AS (SELECT run, epoch(strptime(stamp, '%Y%m%d%H%M')) // 60 AS minutes FROM s WHERE stamp <> '')
+SELECT a.run, count(*) AS near_runs FROM m AS a JOIN m AS b ON a.run <> b.run AND abs(a.minutes - b.minutes) <= 90 GROUP BY a.run""")
+def j09_stamp_band(spark: SparkSession, sf_dir: str, band: int = 90) -> DataFrame:
+    """Runs that others started within an hour and a half of, and how many: a range window over spans of four bands (no pairs are made);
+    every run is also in the neighbouring spans that its band reaches into, and counted in its own only."""
+    runs = table(spark, sf_dir, "loss").where("run IS NOT NULL").select("run").distinct()
+    minutes = F.floor(F.unix_timestamp(F.try_to_timestamp(F.regexp_extract("run", "_([0-9]{12})$", 1), F.lit("yyyyMMddHHmm"))) / 60)
+    m = runs.select("run", minutes.alias("minutes")).where("minutes IS NOT NULL").withColumn("span", F.floor(F.col("minutes") / (4 * band)))
+    m = m.withColumn("at", F.explode(F.array_distinct(F.array(F.floor((F.col("minutes") - band) / (4 * band)), "span", F.floor((F.col("minutes") + band) / (4 * band))))))
+    near = Window.partitionBy("at").orderBy("minutes").rangeBetween(-band, band)
+    return m.withColumn("near_runs", F.count(F.lit(1)).over(near) - 1).where("at = span AND near_runs > 0").select("run", "near_runs")

@@ -168,6 +168,7 @@ def a23_bytes_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Token files: byte tokens of every source as one shard, in chunks of one text.
 
+_STRETCH = 10_000
 _SHARDS = """sh AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS shard_ix FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND text <> '')),
 b AS (SELECT shard_ix, CAST('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')) AS BIGINT) AS id FROM documents d JOIN sh ON d.source = sh.source),
 t AS (SELECT CAST(shard_ix AS INT) AS shard_ix, count(*) AS tokens, CAST(sum(id) AS BIGINT) AS id_sum FROM b GROUP BY shard_ix)"""
@@ -218,8 +219,9 @@ def k08_merged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _written(spark, sf_dir)
     parts = tokenfiles.merge_shards(spark, at, f"{at}/merged/all.bin")
     ledger = spark.createDataFrame([(p["shard_ix"], p["first_token"], p["tokens"]) for p in parts], "shard_ix int, first_token bigint, tokens bigint")
-    stretches = tokenfiles.read_token_files(spark, f"{at}/merged", 10_000).select("first", "ids")
-    met = stretches.join(F.broadcast(ledger), (F.col("first") < F.col("first_token") + F.col("tokens")) & (F.col("first") + F.size("ids") > F.col("first_token")))  # one row per shard of a run
+    stretches = tokenfiles.read_token_files(spark, f"{at}/merged", _STRETCH).select("first", "ids")
+    ledger = ledger.where("tokens > 0").withColumn("stretch", F.explode(F.expr(f"sequence(first_token div {_STRETCH}, (first_token + tokens - 1) div {_STRETCH})")))
+    met = stretches.withColumn("stretch", F.expr(f"first div {_STRETCH}")).join(ledger, "stretch")
     begin = F.greatest(F.col("first_token") - F.col("first"), F.lit(0))
     end = F.least(F.col("first_token") + F.col("tokens") - F.col("first"), F.size("ids").cast("bigint"))
     inside = F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int"))
