@@ -117,6 +117,14 @@ def test_resilient_cuts_and_drops_nothing():
         t.resilient(picky, "abc!def")
 
 
+def test_limited_encoder_takes_texts_of_any_length(spark, monkeypatch):
+    v = vocabulary()
+    long = "the ball " * 300_000
+    df = spark.createDataFrame([(long,), ("the",), (None,)], "text string").withColumn("e", t.encode_column(v, "text", 16_000))
+    got = df.select(F.length("text").alias("n"), F.size("e.errors").alias("cuts"), (t.decode_column(v, "e.ids") == F.col("text")).alias("same")).collect()
+    assert [(r.n, r.cuts > 32, r.same) for r in got[:2]] == [(2_700_000, True, True), (3, False, True)]
+
+
 def test_tables(spark):
     v = spark.createDataFrame([(i, bytes([i])) for i in range(256)] + [(256, b"th")], "id int, piece binary")
     m = spark.createDataFrame([(0, b"t", b"h")], "rank int, l binary, r binary")

@@ -20,6 +20,8 @@ FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a task keeps.
 CACHED_PIECES = 200_000
+#: Characters that a chunked encode reads at a time.
+CHUNK = 500_000
 _PIECES = re.compile(PIECE_PATTERN)
 
 
@@ -176,13 +178,22 @@ def at_most(encode: Callable[[str], list[int]], characters: int) -> Callable[[st
 
 
 def encode_column(vocabulary: PairVocabulary, text: Column | str, at_once: int | None = None) -> Column:
-    """struct<ids, errors> per text; null and empty texts have no ids. The vocabulary (a dictionary of bounded size) is broadcast."""
+    """struct<ids, errors> per text; null and empty texts have no ids. The vocabulary (a dictionary of bounded size) is broadcast.
+
+    Whole texts are encoded, however long; only for an encoder that refuses more than ``at_once`` characters are they read in chunks of
+    ``CHUNK``, so that no text needs more cuts than ``resilient`` makes."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("struct<ids:array<int>,errors:array<string>>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        encode = shared.value.encode if at_once is None else at_most(shared.value.encode, at_once)
-        return pd.DataFrame([resilient(encode, t) if t else ([], []) for t in texts], columns=["ids", "errors"])
+        out = []
+        for t in texts:
+            if at_once is None or not t:
+                out.append((shared.value.encode(t) if t else [], []))
+                continue
+            got = [resilient(at_most(shared.value.encode, at_once), t[a : a + CHUNK]) for a in range(0, len(t), CHUNK)]
+            out.append(([i for ids, _ in got for i in ids], [e for _, errors in got for e in errors]))
+        return pd.DataFrame(out, columns=["ids", "errors"])
 
     return run(text)
 

@@ -70,7 +70,7 @@ def t07_base_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p[0], len(p)) for p in v.pieces if len(p) == 1], "id int, n_bytes int")
 
 
-_AT_ONCE = 10_000
+_AT_ONCE = 16_000
 
 
 def _resilient(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,10 +39,6 @@ relational("l05_ascending_report", "SELECT r.name, r.v FROM (SELECT c_mktsegment
 relational("l06_newest_loads", "SELECT id FROM task_events ORDER BY loaded_at DESC, id DESC LIMIT 25")
 
 
-
-
-
-
 over("l07_last_twenty", "evals", "SELECT run, attempt, step FROM (SELECT *, row_number() OVER (PARTITION BY run, attempt ORDER BY step DESC) AS n FROM evals) AS r WHERE n <= 20")
 over("r16_mode_gap", "steps", """SELECT run, CASE WHEN gap > 0.5 THEN 'large' WHEN gap < 0.2 THEN 'small' ELSE 'middle' END AS verdict FROM (SELECT run, abs(avg(avg50) - avg(val)) AS gap FROM steps
 WHERE val > 0 AND val < 20 AND avg50 > 0 AND avg50 < 20 GROUP BY run) AS g""")
@@ -50,7 +46,7 @@ over("p22_like_for_like", "evals", """WITH a AS (SELECT run, attempt, count(*) A
 SELECT x.run, x.attempt AS a, y.attempt AS b, x.n = y.n AS same_draws, x.top - x.low = y.top - y.low AS same_span FROM a AS x JOIN a AS y ON x.run = y.run AND y.attempt = x.attempt + 1""")
 
 
-@query(f"""SELECT run_stamp, count(*) AS n FROM (SELECT substring(run, length(run) - 11, 6) AS run_stamp FROM (SELECT DISTINCT run FROM loss WHERE run IS NOT NULL) AS r WHERE {'true'}) AS s GROUP BY run_stamp""")
+@query("""SELECT run_stamp, count(*) AS n FROM (SELECT substring(run, length(run) - 11, 6) AS run_stamp FROM (SELECT DISTINCT run FROM loss WHERE run IS NOT NULL) AS r) AS s GROUP BY run_stamp""")
 def p20_stem_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month stamps of run names: the last run of twelve digits of the stem."""
     runs = table(spark, sf_dir, "loss").where("run IS NOT NULL").select("run").distinct()
