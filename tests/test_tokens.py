@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -185,6 +187,23 @@ def test_merge_refuses_a_mismatch(spark, tmp_path):
     assert not (tmp_path / "late").exists()
 
 
+def test_only_tasks_open_files_to_merge(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame([(s, c, bytes([s, c, 200 + c])) for s in (2, 0, 1) for c in (1, 0)] + [(1, 2, None)], "shard_ix int, chunk_ix int, ids binary")
+    tokenfiles.write_token_shards(raw, str(tmp_path)).count()
+    driver, place = os.getpid(), tokenfiles._place
+
+    def elsewhere(uri):
+        assert os.getpid() != driver, "the driver opens a file"
+        return place(uri)
+
+    monkeypatch.setattr(tokenfiles, "_place", elsewhere)
+    parts = tokenfiles.merge_shards(spark, str(tmp_path), str(tmp_path / "out" / "all.bin"))
+    monkeypatch.undo()
+    assert np.fromfile(tmp_path / "out" / "all.bin", "<i4").tolist() == [x for s in range(3) for c in range(2) for x in (s, c, 200 + c)]
+    rows = tokenfiles.read_parts(spark, str(tmp_path / "out" / "all.bin"), parts, 4).collect()
+    assert sorted((r.shard_ix, r.first, r.ids) for r in rows) == [(s, 6 * s + k, ids) for s in range(3) for k, ids in ((0, [s, 0, 200, s]), (4, [1, 201]))]
+
+
 def test_other_sources(spark, tmp_path):
     tokenfiles.write_texts(spark.createDataFrame([("b", 2, "y"), ("b", 1, "x\r"), ("a", 1, "é")], "n string, o int, t string"), str(tmp_path / "c"), "n", "o", "t")
     assert [(r.ordinal, r.text) for r in tokenfiles.text_files(spark, str(tmp_path / "c")).orderBy("ordinal").collect()] == [(0, "é\n\n"), (1, "x\r\n\ny\n\n")]

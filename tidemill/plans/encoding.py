@@ -168,19 +168,18 @@ def a23_bytes_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Token files: byte tokens of every source as one shard, in chunks of one text.
 
-_STRETCH = 10_000
 _SHARDS = """sh AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS shard_ix FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND text <> '')),
 b AS (SELECT shard_ix, CAST('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')) AS BIGINT) AS id FROM documents d JOIN sh ON d.source = sh.source),
 t AS (SELECT CAST(shard_ix AS INT) AS shard_ix, count(*) AS tokens, CAST(sum(id) AS BIGINT) AS id_sum FROM b GROUP BY shard_ix)"""
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """shard_ix, chunk_ix and ids; one row per source is all that the window without partition sees."""
+    """shard_ix, chunk_ix and ids (the text's bytes); one row per source is all that the window without partition sees."""
     d = _docs(spark, sf_dir).where("text <> '' AND source IS NOT NULL").select("doc_id", "source", "text")
     shards = d.select("source").distinct().withColumn("shard_ix", F.row_number().over(Window.orderBy("source")) - 1)
-    ids = corpus.byte_ids(d).select("doc_id", "ids")
-    numbered = offsets.running_total(d.select("doc_id", "source"), "doc_id", F.lit(1).cast("bigint"), ["source"], "chunk_ix")
-    return numbered.join(shards, "source").join(ids, "doc_id").select("shard_ix", "chunk_ix", "ids")
+    rows = d.select("doc_id", "source", F.col("text").cast("binary").alias("ids"))
+    numbered = offsets.running_total(rows, "doc_id", F.lit(1).cast("bigint"), ["source"], "chunk_ix")
+    return numbered.join(shards, "source").select("shard_ix", "chunk_ix", "ids")
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
@@ -218,14 +217,8 @@ def k08_merged_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shards joined into one file in order, each shard's tokens found again at its place in it."""
     at = _written(spark, sf_dir)
     parts = tokenfiles.merge_shards(spark, at, f"{at}/merged/all.bin")
-    ledger = spark.createDataFrame([(p["shard_ix"], p["first_token"], p["tokens"]) for p in parts], "shard_ix int, first_token bigint, tokens bigint")
-    stretches = tokenfiles.read_token_files(spark, f"{at}/merged", _STRETCH).select("first", "ids")
-    ledger = ledger.where("tokens > 0").withColumn("stretch", F.explode(F.expr(f"sequence(first_token div {_STRETCH}, (first_token + tokens - 1) div {_STRETCH})")))
-    met = stretches.withColumn("stretch", F.expr(f"first div {_STRETCH}")).join(ledger, "stretch")
-    begin = F.greatest(F.col("first_token") - F.col("first"), F.lit(0))
-    end = F.least(F.col("first_token") + F.col("tokens") - F.col("first"), F.size("ids").cast("bigint"))
-    inside = F.slice("ids", (begin + 1).cast("int"), (end - begin).cast("int"))
-    return met.groupBy("shard_ix", "first_token", "tokens").agg(F.sum(F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, i: a + i)).alias("id_sum"))
+    rows = tokenfiles.read_parts(spark, f"{at}/merged/all.bin", parts)
+    return rows.groupBy("shard_ix", "first_token", "tokens").agg(F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, i: a + i)).alias("id_sum"))
 
 
 @query(f"WITH {_SHARDS} SELECT shard_ix, tokens, 4 * tokens AS n_bytes, true AS agrees FROM t")

@@ -57,13 +57,16 @@ def read_token_files(spark: SparkSession, path: str, tokens_per_row: int = RANGE
 
 def write_token_shards(tokens: DataFrame, folder: str, resume: bool = False) -> DataFrame:
     """Write ``tokens`` (shard_ix, chunk_ix from 0, ids) as one ``.bin`` with a sidecar per shard in a shared folder; the manifest comes
-    back: shard_ix, tokens, resumed (tokens taken over) and n_bytes.
+    back: shard_ix, tokens, resumed (tokens taken over) and n_bytes. ``ids`` is an array of ids, or binary: then every byte is an id, and
+    only the file has four bytes for it.
 
     A shard's chunks are sorted into one task and streamed out; file and sidecar appear under their names only when they are whole,
     so a repeated task overwrites with the same bytes. With ``resume`` what a shard's sidecar has recorded is taken over: the file is
     cut to the recorded tokens (bytes after them are torn) and only later chunks are added; without a usable sidecar it starts anew.
     """
 
+    raw = tokens.schema["ids"].dataType.typeName() == "binary"
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_shard, out, held, count, chunks, taken, done = None, None, "", 0, 0, 0, []
         system, base = _place(folder)
@@ -108,7 +111,10 @@ def write_token_shards(tokens: DataFrame, folder: str, resume: bool = False) ->
                     begin(shard)
                 if chunk < chunks:
                     continue
-                got = np.asarray(ids.values.to_numpy(zero_copy_only=False) if ids.as_py() is not None else [], dtype="<i4")
+                if not ids.is_valid:
+                    got = np.zeros(0, "<i4")
+                else:
+                    got = np.frombuffer(ids.as_buffer(), np.uint8).astype("<i4") if raw else np.asarray(ids.values.to_numpy(zero_copy_only=False), dtype="<i4")
                 out.write(got.tobytes())
                 count += len(got)
                 chunks = chunk + 1
@@ -119,28 +125,64 @@ def write_token_shards(tokens: DataFrame, folder: str, resume: bool = False) ->
     return ordered.mapInArrow(write, "shard_ix int, tokens bigint, resumed bigint").withColumn("n_bytes", F.col("tokens") * 4)
 
 
-def merge_shards(spark: SparkSession, folder: str, target: str) -> list[dict]:
-    """Join all shards, in order, into one file. Every shard's size must equal its sidecar's tokens times four, else nothing is written
-    and ValueError is raised. The parts come back with the position of their first token."""
-    files = read_sidecars(spark, folder).orderBy("shard_ix").collect()
-    bad = [r.shard_ix for r in files if r.n_bytes != 4 * r.tokens]
-    if bad:
-        raise ValueError(f"size and manifest differ in shards {bad}")
+def _join(folder: str, target: str, shards: list[int]) -> None:
+    """Copy the shards, one after the other, into one file, which appears under its name only when it is whole."""
     system, base = _place(folder)
     out_system, out_path = _place(target)
     out_system.create_dir(out_path.rpartition("/")[0], recursive=True)
-    held, at, parts = f"{out_path}.{uuid.uuid4().hex}.tmp", 0, []
+    held = f"{out_path}.{uuid.uuid4().hex}.tmp"
     with out_system.open_output_stream(held) as out:
-        for r in files:
-            with system.open_input_file(f"{base}/shard_{r.shard_ix:06d}.bin") as f:
+        for shard in shards:
+            with system.open_input_file(f"{base}/shard_{shard:06d}.bin") as f:
                 while block := f.read(COPY):
                     out.write(block)
-            parts.append({"shard_ix": r.shard_ix, "first_token": at, "tokens": r.tokens})
-            at += r.tokens
     out_system.move(held, out_path)
+
+
+def merge_shards(spark: SparkSession, folder: str, target: str) -> list[dict]:
+    """Join all shards, in order, into one file. Every shard's size must equal its sidecar's tokens times four, else nothing is written
+    and ValueError is raised. The parts come back with the position of their first token. One task copies (a file has one writer); the
+    driver sees the sidecars only, never a token."""
+    files = read_sidecars(spark, folder).orderBy("shard_ix").collect()
+    bad = [r.shard_ix for r in files if r.n_bytes != 4 * r.tokens]
+    if bad:
+        raise ValueError(f"size and manifest differ in shards {bad}")
+    shards = [r.shard_ix for r in files]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _join(folder, target, shards)
+            yield batch
+
+    spark.range(1, numPartitions=1).mapInArrow(run, "id bigint").collect()
+    at, parts = 0, []
+    for r in files:
+        parts.append({"shard_ix": r.shard_ix, "first_token": at, "tokens": r.tokens})
+        at += r.tokens
     return parts
 
 
+def read_parts(spark: SparkSession, path: str, parts: list[dict], tokens_per_row: int = RANGE) -> DataFrame:
+    """shard_ix, first_token, tokens, first and ids of the parts of a merged file: each task reads byte ranges that lie in one part."""
+    ledger = spark.createDataFrame([(p["shard_ix"], p["first_token"], p["tokens"]) for p in parts], "shard_ix int, first_token bigint, tokens bigint")
+    last = F.col("first_token") + F.col("tokens") - 1
+    tasks = max(spark.sparkContext.defaultParallelism, sum(p["tokens"] for p in parts) // (64 * tokens_per_row))  # named, else small rows mean one task
+    ranges = ledger.where("tokens > 0").withColumn("first", F.explode(F.sequence("first_token", last, F.lit(tokens_per_row).cast("bigint")))).repartition(tasks)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, local = _place(path)
+        with system.open_input_file(local) as f:
+            for batch in batches:
+                for i, (begin, tokens, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("first_token", "tokens", "first")))):
+                    f.seek(first * 4)
+                    ids = np.frombuffer(f.read(4 * min(tokens_per_row, begin + tokens - first)), "<i4")
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, lists], names=[*batch.schema.names, "ids"])
+
+    return ranges.mapInArrow(read, "shard_ix int, first_token bigint, tokens bigint, first bigint, ids array<int>")
+
+
 def tear(spark: SparkSession, folder: str, garbage: bytes) -> None:
     """Append bytes to every shard, as a run that died while writing does (for checks of ``resume``)."""
     for r in read_sidecars(spark, folder).collect():
