@@ -27,6 +27,24 @@ def test_first_deliveries(spark, tmp_path):
     assert sorted(r.k for r in jobs.run_available(jobs.first_deliveries(s, "t", ["k"]), "append").collect()) == [1, 2, 3]
 
 
+def many_files(spark, tmp_path):
+    spark.range(12).selectExpr("concat('r', id % 2) AS run", "id * 20 AS step").repartition(12).write.parquet(str(tmp_path / "loss.parquet"))
+    return str(tmp_path)
+
+
+def test_small_files_share_a_batch(spark, tmp_path):
+    m = jobs.milestones(jobs.table_stream(spark, many_files(spark, tmp_path), "loss"), "run", "step", (100, 200))
+    got = jobs.run_available(m, "append").collect()
+    assert sorted((r.key, r.milestone) for r in got) == [("r0", 100), ("r0", 200), ("r1", 100), ("r1", 200)]
+    assert {r.batch for r in got} == {0}
+
+
+def test_batches_are_bounded(spark, tmp_path):
+    m = jobs.milestones(jobs.table_stream(spark, many_files(spark, tmp_path), "loss", 1), "run", "step", (100, 200))
+    got = jobs.run_available(m, "append").collect()
+    assert sorted((r.key, r.milestone) for r in got) == [("r0", 100), ("r0", 200), ("r1", 100), ("r1", 200)] and len({r.batch for r in got}) > 1
+
+
 def test_stalls(spark, tmp_path):
     rows = [("quiet", T0), ("busy", T0), ("busy", T0 + timedelta(hours=1)), ("busy", T0 + timedelta(hours=2)), ("busy", T0 + timedelta(hours=3)), ("busy", T0 + timedelta(hours=3))]
     got = jobs.run_available(jobs.stalls(stream(spark, tmp_path, rows, "k string, t timestamp", 6), "k", "t", "90 minutes"), "append")

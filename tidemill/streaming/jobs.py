@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import shared_folder
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table's files as a stream; naive timestamps become instants, since watermarks need them."""
+#: Bytes of files that a batch takes: a batch costs a start of every state partition, however few rows it has.
+BATCH_BYTES = 256 << 20
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A table's files as a stream, in batches of ``batch_bytes`` (one file at least); naive timestamps become instants, since
+    watermarks need them."""
     path = f"{sf_dir}/{name}.parque[t]"  # a pattern, as a stream takes no single file
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
     return rows.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in schema.fields])
 
 
@@ -77,7 +83,14 @@ def milestones(rows: DataFrame, key: str, step: str, at: tuple[int, ...]) -> Dat
             state.update((max(done, top),))
         yield pd.DataFrame({"key": [k[0]] * len(new), "milestone": new})
 
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top = pa.Table.from_batches([batch]).group_by("key").aggregate([(step, "max")])
+            yield from top.select(["key", f"{step}_max"]).rename_columns(["key", step]).to_batches()
+
     narrow = rows.where(F.col(step).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(step).cast("bigint").alias(step))
+    # The latch needs the highest step only, so a key's rows meet in one task as one row for each Arrow batch.
+    narrow = narrow.mapInArrow(highest, narrow.schema)
     return narrow.groupBy("key").applyInPandasWithState(latch, "key string, milestone bigint", "top bigint", "append", GroupStateTimeout.NoTimeout)
 
 
