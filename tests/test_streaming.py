@@ -27,6 +27,13 @@ def test_first_deliveries(spark, tmp_path):
     assert sorted(r.k for r in jobs.run_available(jobs.first_deliveries(s, "t", ["k"]), "append").collect()) == [1, 2, 3]
 
 
+def test_first_deliveries_of_any_age(spark, tmp_path):
+    """A first delivery that is late, and a copy that is later than any watermark."""
+    s = stream(spark, tmp_path, [(1, T0), (2, T0 + timedelta(days=40)), (3, T0), (1, T0 + timedelta(days=50)), (4, T0 + timedelta(days=1)), (2, T0 + timedelta(days=90))], "k int, t timestamp")
+    assert sorted(r.k for r in jobs.run_available(jobs.first_deliveries(s, "t", ["k"]), "append", jobs.LARGE_STATE).collect()) == [1, 2, 3, 4]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
 def many_files(spark, tmp_path):
     spark.range(12).selectExpr("concat('r', id % 2) AS run", "id * 20 AS step").repartition(12).write.parquet(str(tmp_path / "loss.parquet"))
     return str(tmp_path)

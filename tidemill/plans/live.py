@@ -47,4 +47,4 @@ def x08_last_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS messages FROM (SELECT DISTINCT run, attempt, kind, step FROM loss WHERE step IS NOT NULL)")
 def x10_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.table_stream(spark, sf_dir, "loss").where("step IS NOT NULL").select("run", "attempt", "kind", "step", "delivered_at")
-    return jobs.run_available(jobs.first_deliveries(rows, "delivered_at", ["run", "attempt", "kind", "step"]), "append").agg(F.count(F.lit(1)).alias("messages"))
+    return jobs.run_available(jobs.first_deliveries(rows, "delivered_at", ["run", "attempt", "kind", "step"]), "append", jobs.LARGE_STATE).agg(F.count(F.lit(1)).alias("messages"))

@@ -33,10 +33,21 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, batch_bytes: int =
     return rows.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in schema.fields])
 
 
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
+#: Settings of a job whose state grows with its input: it is kept on disk, in bounded memory beside the executor's heap.
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+LARGE_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.boundedMemoryUsage": "true",
+    f"{_ROCKS}.maxMemoryUsageMB": "256",
+    f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+    f"{_ROCKS}.trackTotalNumberOfRows": "false",
+}
+
+
+def run_available(stream: DataFrame, mode: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Drain the stream and return its result. ``complete`` keeps the last version of the result, ``append`` and ``update`` all
     emitted rows with their batch number (column ``batch``); batches are written to the shared folder, so a repeated batch
-    replaces itself."""
+    replaces itself. ``settings`` hold for this stream only."""
     spark = stream.sparkSession
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out, schema = f"{place}/out", T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
@@ -44,7 +55,14 @@ def run_available(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    finally:  # the stream has taken a copy of the settings
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     try:
         got = spark.read.schema(schema).parquet(out)
@@ -67,9 +85,10 @@ def sessions(events: DataFrame, time: str, gap: str, key: str, late: str = "1 ho
     return events.withWatermark(time, late).groupBy(s.alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"), "n")
 
 
-def first_deliveries(rows: DataFrame, time: str, keys: list[str], late: str = "1 day") -> DataFrame:
-    """At-least-once rows, each key once within the watermark."""
-    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+def first_deliveries(rows: DataFrame, time: str, keys: list[str], late: str | None = None) -> DataFrame:
+    """At-least-once rows, each key once, however late it or its copies come: all keys stay in the state (drain it with
+    ``LARGE_STATE``). With ``late`` keys are forgotten after that time and rows that come later than it are dropped."""
+    return rows.dropDuplicates(keys) if late is None else rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def milestones(rows: DataFrame, key: str, step: str, at: tuple[int, ...]) -> DataFrame:
