@@ -90,6 +90,22 @@ def test_sample_is_bounded_and_labelled_first(spark):
     assert s.training_sample(frame, labels.limit(0), ["law"]) == []
 
 
+def test_fit_is_training_on_all_texts(spark, monkeypatch):
+    docs = corpus(90, 3)
+    labelled = {i: want for i, _, want in docs[:60]}
+    frame = spark.createDataFrame([(i, t) for i, t, _ in docs] + [(900, None), (901, " ")], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, x, a) for i, want in labelled.items() for x in want for a in ("a", "b")][:-1] + [(7, "law", "c")], "doc_id bigint, subject string, annotator string")
+    want = s.training_sample(frame, labels, sorted(TERMS))
+    m = s.train(want, sorted(TERMS))
+    s.calibrate(m, want)
+    monkeypatch.setattr(s, "MAX_TEXTS", 10)
+    monkeypatch.setattr(s.training_sample, "__defaults__", (10, 1_000))
+    got = s.fit(frame, labels, spark.createDataFrame([(x,) for x in TERMS], "subject string"))
+    assert len(want) == 91 and set(got.words) == set(m.words) and np.allclose(got.levels, m.levels)
+    for _, t, _ in docs[60:]:
+        assert np.allclose(s.text_shares(got, s.sentences(t)), s.text_shares(m, s.sentences(t)), atol=1e-4)
+
+
 def test_frame(spark):
     docs = corpus(120)
     extra = [(500, None), (501, ""), (502, " \n"), (503, docs[0][1]), (504, docs[0][1] + " " + "x" * 200_000)]

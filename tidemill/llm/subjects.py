@@ -1,11 +1,12 @@
 """Subject areas of texts by interpolated n-gram language models, one per subject, against a background model.
 
-Training (driver, on a bounded sample: ``MAX_TEXTS`` texts and ``MAX_CHARS`` characters, labelled texts first, by hash of the id,
-then texts without a label to fill the sample): labels belong to texts, not sentences, and some are wrong or missing, so rounds of
+Training (all texts, in Arrow batches): labels belong to texts, not sentences, and some are wrong or missing, so rounds of
 expectation-maximisation share every sentence out among the subjects of its text and a background class for sentences about
-nothing; each class is a bigram model interpolated with its unigram model and with the unigram model of everything. Where labels
-are few, the sample's unlabelled texts join in the later rounds: any subject may be theirs, but one with less than ``CONFIDENT`` of
-a text's sentences gets nothing of it, so they add words to the subjects that they are clearly about.
+nothing; each class is a bigram model interpolated with its unigram model and with the unigram model of everything. All texts
+without a label join in the later rounds: any subject may be theirs, but one with less than ``CONFIDENT`` of a text's sentences
+gets nothing of it, so they add words to the subjects that they are clearly about. Texts are parsed once into the shared folder; a
+round is one pass that counts pairs by class in tasks (as whole numbers of 2^-24, so that their order doesn't matter), and the
+driver holds the sums: one row for each word and pair of the corpus. ``train`` and ``calibrate`` are the same for texts in memory.
 
 Scoring (all texts, in Arrow batches): a sentence's per-token cross-entropy under each subject's model is compared with that under
 the background model; the differences, times the sentence's tokens, are its log-odds, and the text's own mixture, found by a few
@@ -18,22 +19,27 @@ case after compatibility normalisation; numbers are one token; an unknown word s
 
 Defined results: null, empty, blank and furniture-only texts have no subjects; labels of unknown texts or subjects are ignored;
 repeated labels count once; conflicting annotators each count in part; without labels no text gets a subject; repeated texts are
-scored again; further columns are ignored; a labelled text that does not fit what is left of ``MAX_CHARS`` is not in the sample.
+scored again; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+from ..sources.tables import spread
+
 MAX_TEXTS = 4_000
 MAX_CHARS = 16_000_000
 ROUNDS = 8
@@ -151,15 +157,25 @@ def log_odds(model: Model, batch: Batch) -> np.ndarray:
     return (entropy[:, -1:] - entropy) * tokens[:, None]
 
 
-def _estimate(weights: np.ndarray, flat: np.ndarray, sentence: np.ndarray, keys: np.ndarray, model: Model) -> None:
+def _estimate(weights: np.ndarray, sentence: np.ndarray, keys: np.ndarray, model: Model) -> None:
     """Interpolated tables from fractional counts; ``weights`` is sentences x classes."""
-    size, k = len(model.words) + 1, weights.shape[1]
+    _tables(model, *_pair_counts(weights, sentence, keys))
+
+
+def _pair_counts(weights: np.ndarray, sentence: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs, sorted, and their fractional counts by class."""
     pairs, where = np.unique(keys, return_inverse=True)
-    uni, bi = np.zeros((size, k)), np.zeros((len(pairs), k))
-    for c in range(k):  # one class at a time: the token-by-class table would be the largest object in memory
-        w = weights[sentence, c]
-        uni[:, c] = np.bincount(flat, w, size)
-        bi[:, c] = np.bincount(where, w, len(pairs))
+    bi = np.zeros((len(pairs), weights.shape[1]))
+    for c in range(weights.shape[1]):  # one class at a time: the token-by-class table would be the largest object in memory
+        bi[:, c] = np.bincount(where, weights[sentence, c], len(pairs))
+    return pairs, bi
+
+
+def _tables(model: Model, pairs: np.ndarray, bi: np.ndarray) -> None:
+    """The model's tables from the counts of all pairs; every token is the second of one pair."""
+    size, k = len(model.words) + 1, bi.shape[1]
+    uni = np.zeros((size, k))
+    np.add.at(uni, pairs % (size + 1), bi)
     everything = uni.sum(1)
     base = (everything + 0.5) / (everything.sum() + 0.5 * size)
     total = uni.sum(0)
@@ -251,7 +267,7 @@ def train(texts: list[tuple[list[list[str]], Labels]], subjects: list[str], roun
     batch, sentence, keys, voice = view(n_labelled)
     weights = (allowed / allowed.sum(1, keepdims=True))[batch.text_of]
     for r in range(rounds + (open_rounds if n_labelled < len(texts) else 0)):
-        _estimate(weights * voice, batch.flat, sentence, keys, model)
+        _estimate(weights * voice, sentence, keys, model)
         if r == 0:  # the background starts as everything
             model.unigram[:, k] = np.log(np.exp(model.unigram[:, :k]).mean(1))
             model.bigram[:, k] = np.log(np.exp(model.bigram[:, :k]).mean(1))
@@ -266,7 +282,7 @@ def train(texts: list[tuple[list[list[str]], Labels]], subjects: list[str], roun
             clear = np.c_[about >= CONFIDENT * about.sum(1, keepdims=True), np.ones(len(about), bool)]
             clear[:n_labelled] = True
             weights = weights * clear[batch.text_of]
-    _estimate(weights * voice, batch.flat, sentence, keys, model)
+    _estimate(weights * voice, sentence, keys, model)
     return model
 
 
@@ -278,7 +294,11 @@ def calibrate(model: Model, texts: list[tuple[list[list[str]], Labels]], levels:
         return
     shares = batch_shares(model, _encode([d for d, _ in texts], model.words, False))
     truth = np.array([[(2 * lab.get(s, 0.0) - 1) * (1.0 if lab.sure else 0.5) for s in model.subjects] for _, lab in texts])
-    gain = np.array([((shares >= t) * truth).sum(0) for t in levels])  # levels x subjects
+    _set_levels(model, np.array([((shares >= t) * truth).sum(0) for t in levels]), levels)
+
+
+def _set_levels(model: Model, gain: np.ndarray, levels: tuple[float, ...]) -> None:
+    """``gain`` is levels x subjects."""
     total = gain.sum(1) - DOUBT * np.abs(np.array(levels) - NOMINAL) * 100
     best = np.flatnonzero(total >= total.max() - 1e-9)
     common = int(best[len(best) // 2])
@@ -290,7 +310,8 @@ def calibrate(model: Model, texts: list[tuple[list[list[str]], Labels]], levels:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, subjects: list[str], max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS) -> list[tuple[list[list[str]], Labels]]:
-    """Sentences and label weights (share of the text's annotators) of a bounded sample: labelled texts first, then others.
+    """Sentences and label weights (share of the text's annotators) of a bounded sample: labelled texts first, then others (for
+    ``train`` in memory; ``fit`` takes all texts).
 
     Ids and lengths of at most ``max_texts`` texts come to the driver first; texts are fetched only as far as ``max_chars`` allows.
     """
@@ -316,12 +337,131 @@ def training_sample(documents: DataFrame, labels: DataFrame, subjects: list[str]
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Model:
+def _parsed(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> str:
+    """The folder of all texts with a sentence: words in sequence, words of each sentence, and the label weights by subject (null
+    without a label), apart in ``labelled``."""
+    per = labels.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).select("doc_id", "subject", "annotator").distinct()
+    per = per.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "annotator")).alias("marks"))
+    texts = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    place = {s: j for j, s in enumerate(subjects)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, out = batch.slice(at, 512), []
+                for text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if not (doc := sentences(text)):
+                        continue
+                    annotators, weights = {m["annotator"] for m in marks or []}, [0.0] * len(subjects)
+                    for m in marks or []:
+                        weights[place[m["subject"]]] += 1.0 / len(annotators)
+                    sure = len(annotators) > 1 and all(v > 0.999 or not v for v in weights)
+                    out.append(([w for s in doc for w in s], [len(s) for s in doc], weights if marks else None, sure, bool(marks)))
+                kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["words", "lengths", "weights", "sure", "labelled"])
+
+    rows = spread(texts.join(per, "doc_id", "left").select("text", "marks"))
+    at = f"{shared_folder(documents.sparkSession)}/parsed-{uuid.uuid4().hex}"
+    rows.mapInArrow(run, "words array<string>, lengths array<int>, weights array<double>, sure boolean, labelled boolean").write.partitionBy("labelled").parquet(at)
+    return at
+
+
+def _batches(part: pa.RecordBatch, vocabulary: pa.Array, k: int) -> Iterator[tuple[Batch, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their batch, label weights (texts x subjects, nan without a label) and whether annotators agree."""
+    for at in range(0, part.num_rows, 512):
+        words, lengths, weights, sure = part.slice(at, 512).columns
+        flat = pc.index_in(words.flatten(), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        sizes = lengths.flatten().to_numpy(zero_copy_only=False)
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(lengths).to_numpy(zero_copy_only=False))]
+        shares = np.array([w if w is not None else [np.nan] * k for w in weights.to_pylist()]).reshape(-1, k)
+        yield Batch(flat, np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64), bounds.astype(np.int64)), shares, np.array(sure.to_pylist(), bool)
+
+
+def _shared_out(model: Model, batch: Batch, shares: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """The weight of every sentence for every class, as in ``train``."""
+    k = len(model.subjects)
+    labelled = ~np.isnan(shares).any(1)
+    allowed = np.c_[np.where(labelled[:, None], np.maximum(UNLABELLED, np.nan_to_num(shares)), 1.0), np.full(len(shares), 0.5)]
+    if model.unigram is None:
+        weights = (allowed / allowed.sum(1, keepdims=True))[batch.text_of]
+    else:
+        weights = _mixtures(log_odds(model, batch) + ahead, batch, allowed)
+        about = np.add.reduceat(weights[:, :k], batch.bounds[:-1], axis=0)
+        clear = np.c_[about >= CONFIDENT * about.sum(1, keepdims=True), np.ones(len(about), bool)] | labelled[:, None]
+        weights = weights * clear[batch.text_of]
+    return weights * np.minimum(1.0, LOUD / np.diff(batch.bounds))[batch.text_of][:, None]
+
+
+def _counted(rows: DataFrame, model: Model, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over ``rows``: all pairs, sorted, and their counts by class."""
+    k = len(model.subjects)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{c}" for c in range(k + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, vocabulary = shared.value, pa.array(list(shared.value.words), pa.string())
+        pairs, bi = np.zeros(0, np.int64), np.zeros((0, k + 1))
+        for part in batches:
+            for batch, shares, _ in _batches(part, vocabulary, k):
+                weights = _shared_out(m, batch, shares, ahead)
+                sentence = np.repeat(np.arange(len(batch.starts)), np.diff(np.r_[batch.starts, len(batch.flat)]))
+                more, counts = _pair_counts(weights, sentence, _pair_keys(batch.flat, batch.starts, len(m.words) + 1))
+                both, where = np.unique(np.r_[pairs, more], return_inverse=True)
+                total = np.zeros((len(both), k + 1))
+                total[where[: len(pairs)]] = bi
+                total[where[len(pairs) :]] += counts
+                pairs, bi = both, total
+        whole = np.rint(bi * (1 << 24)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), *(pa.array(whole[:, c]) for c in range(k + 1))], names=["pair", *names])
+
+    sums = rows.mapInArrow(run, "pair bigint, " + ", ".join(f"{n} bigint" for n in names)).groupBy("pair").agg(*[F.sum(n).alias(n) for n in names]).toArrow().sort_by("pair")
+    shared.unpersist()
+    return sums.column("pair").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in names]) / (1 << 24)
+
+
+def _calibrate_on(rows: DataFrame, model: Model) -> None:
+    """``calibrate`` on all labelled texts."""
+    k = len(model.subjects)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, vocabulary = shared.value, pa.array(list(shared.value.words), pa.string())
+        gain = np.zeros((len(LEVELS), k))
+        for part in batches:
+            for batch, shares, sure in _batches(part, vocabulary, k):
+                truth = (2 * shares - 1) * np.where(sure, 1.0, 0.5)[:, None]
+                got = batch_shares(m, batch)
+                gain += np.array([((got >= t) * truth).sum(0) for t in LEVELS])
+        yield pa.RecordBatch.from_arrays([pa.array([np.rint(gain * (1 << 24)).astype(np.int64).ravel().tolist()], pa.list_(pa.int64()))], names=["gain"])
+
+    parts = rows.mapInArrow(run, "gain array<bigint>").collect()
+    _set_levels(model, sum((np.array(r.gain, np.int64) for r in parts), np.zeros(len(LEVELS) * k, np.int64)).reshape(-1, k) / (1 << 24), LEVELS)
+
+
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rounds: int = ROUNDS, open_rounds: int = OPEN_ROUNDS) -> Model:
+    """The models and acceptance levels from all texts and all labels."""
     names = sorted(r[0] for r in subjects.where("subject IS NOT NULL").select("subject").distinct().collect())
-    texts = training_sample(documents, labels, names)
-    model = train(texts, names)
-    if model.unigram is not None:
-        calibrate(model, texts)
+    model = Model(names)
+    k = len(names)
+    model.levels = np.full(k, NOMINAL)
+    if labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).isEmpty():
+        return model
+    spark, at = documents.sparkSession, _parsed(documents, labels, names)
+    whole = spark.read.schema("words array<string>, lengths array<int>, weights array<double>, sure boolean, labelled boolean").parquet(at)
+    rows, labelled = whole.select("words", "lengths", "weights", "sure"), whole.where("labelled").select("words", "lengths", "weights", "sure")
+    if labelled.isEmpty():
+        return model
+    found = whole.select(F.explode("words").alias("w")).distinct().toArrow().column("w").to_pylist()
+    model.words = {w: i + 1 for i, w in enumerate(sorted(found))}
+    opened = not whole.where("NOT labelled").isEmpty()
+    _tables(model, *_counted(labelled, model, np.zeros(k + 1)))
+    model.unigram[:, k] = np.log(np.exp(model.unigram[:, :k]).mean(1))  # the background starts as everything
+    model.bigram[:, k] = np.log(np.exp(model.bigram[:, :k]).mean(1))
+    for r in range(rounds + (open_rounds if opened else 0)):
+        ahead = np.zeros(k + 1)
+        ahead[k] = EARLY_AHEAD * np.log(k + 1e-9) if r < EARLY_ROUNDS else 0.0
+        _tables(model, *_counted(rows if r >= rounds - 1 else labelled, model, ahead))
+    _calibrate_on(labelled, model)
     return model
 
 
